@@ -45,8 +45,8 @@ class Layout:
 
 
 def block_of(seq: Column, rows: int = BLOCK_ROWS) -> Column:
-    """The block of a dense vertex number."""
-    return F.floor(seq / F.lit(rows)).cast("long")
+    """The block of a dense vertex number (``rows`` is a power of two)."""
+    return F.shiftright(seq.cast("long"), rows.bit_length() - 1)
 
 
 def explode_points(curves: DataFrame, keys: Sequence[str], points: str = "points") -> DataFrame:
@@ -102,7 +102,7 @@ def curve_metrics(
         )
         .withColumn("nx", F.lead("x").over(w))
         .withColumn("ny", F.lead("y").over(w))
-        .withColumn("is_first", F.row_number().over(w) == 1)
+        .withColumn("is_first", F.lag("x").over(w).isNull())
         .withColumn("seg", _segment(F.col("nx") - F.col("x"), F.col("ny") - F.col("y")))
         .withColumn("prev", F.last("seg", ignorenulls=True).over(before))
         .withColumn("turn", _turn(F.col("prev"), F.col("seg")))
@@ -366,39 +366,46 @@ def smooth(
     pad = width // 2
     if block_rows <= pad:
         raise ValueError("block_rows must exceed half the window")
-    homes = F.array_distinct(
-        F.array(
-            block_of(F.col("seq"), block_rows),
-            block_of(F.greatest(F.col("seq") - pad, F.lit(0)), block_rows),
-            block_of(F.col("seq") + pad, block_rows),
+    seq, last = F.col("seq"), F.col("n") - 1
+
+    def copy(block: Column, at: Column) -> Column:
+        return F.struct(block.alias("block"), at.alias("at"))
+
+    home = block_of(seq, block_rows)
+    lower, upper = block_of(seq - pad, block_rows), block_of(seq + pad, block_rows)
+
+    def repeats(first: Column, end: Column) -> Column:
+        """The vertex again at the places past the curve's end."""
+        places = F.sequence(first, end)
+        blocks = F.when((lower == home) | (seq < pad), F.array(home)).otherwise(F.array(lower, home))
+        return F.flatten(F.transform(blocks, lambda b: F.transform(places, lambda k: copy(b, k))))
+
+    own = F.array(copy(home, seq))
+    copies = (
+        F.when((seq >= pad) & (seq <= last - pad) & (lower == home) & (upper == home), own)
+        .otherwise(
+            F.concat(
+                own,
+                F.when((lower != home) & (seq >= pad), F.array(copy(lower, seq))).otherwise(F.array()),
+                F.when((upper != home) & (seq <= last - pad), F.array(copy(upper, seq))).otherwise(F.array()),
+                F.when(seq == 0, repeats(seq - pad, seq - 1)).otherwise(F.array()),
+                F.when(seq == last, repeats(seq + 1, seq + pad)).otherwise(F.array()),
+            )
         )
     )
-    w = (
-        Window.partitionBy(*keys, "block")
-        .orderBy("seq")
-        .rowsBetween(-pad, pad)
+    w = Window.partitionBy(*keys, "block").orderBy("at").rowsBetween(-pad, pad)
+    sent = vertices.select(*keys, *carry, "seq", "n", "x", "y", F.explode(copies).alias("c")).select(
+        *keys, *carry, "seq", "n", "x", "y", "c.block", "c.at"
     )
-    sent = vertices.select(*keys, *carry, "seq", "n", "x", "y", F.explode(homes).alias("block"))
-
-    missing_left = F.greatest(F.lit(pad) - F.col("seq"), F.lit(0))
-    missing_right = F.greatest(F.lit(pad) - (F.col("n") - 1 - F.col("seq")), F.lit(0))
-    fixed = (F.col("n") <= window) | (F.col("seq") == 0) | (F.col("seq") == F.col("n") - 1)
+    fixed = (F.col("n") <= window) | (seq == 0) | (seq == last)
 
     def mean(c: str) -> Column:
-        total = (
-            F.sum(c).over(w)
-            + missing_left * F.first(c).over(w)
-            + missing_right * F.last(c).over(w)
-        )
-        return F.when(fixed, F.col(c)).otherwise(total / F.lit(float(width)))
+        return F.when(fixed, F.col(c)).otherwise(F.sum(c).over(w) / F.lit(float(width)))
 
     return (
-        sent.withColumn("sx", mean("x"))
-        .withColumn("sy", mean("y"))
-        .filter(F.col("block") == block_of(F.col("seq"), block_rows))
-        .select(
-            *keys, *carry, "seq", "n", F.col("sx").alias("x"), F.col("sy").alias("y"), "block"
-        )
+        sent.select("*", mean("x").alias("sx"), mean("y").alias("sy"))
+        .filter((F.col("at") == seq) & (F.col("block") == home))
+        .select(*keys, *carry, "seq", "n", F.col("sx").alias("x"), F.col("sy").alias("y"), "block")
     )
 
 

@@ -572,7 +572,7 @@ def merge_junctions(spark: SparkSession, d: str) -> DataFrame:
     return graph.connected_components(near.unionByName(far))
 
 
-NODE_SIDE = 0.05
+NODE_SIDE = 0.2
 
 JUNCTION_SQL = f"""WITH {FIELD_SQL}, {arc_sql("field", "image_id, filament_id")}, {ENDS_SQL},
     e AS (SELECT image_id, CAST(floor(x / {NODE_SIDE}) AS BIGINT) AS nx, CAST(floor(y / {NODE_SIDE}) AS BIGINT) AS ny,

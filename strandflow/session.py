@@ -23,6 +23,8 @@ def build_session(master: str | None = None, app: str = "strandflow", **conf: st
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     for key, value in settings.items():
