@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from strandflow.operators.ridge import normalize_tiles
-from strandflow.operators.tiles import TILE, _only, as_array, map_rows, tile_schema
+from strandflow.operators.tiles import GRID, TILE, _only, as_array, map_rows, tile_schema
+from strandflow.session import spread
 
 Predictor = Callable[[np.ndarray], np.ndarray]
 
@@ -78,7 +79,7 @@ def patches_of(
         rec = {**head, "y": head["py"], "x": head["px"], "pixels": np.ascontiguousarray(a).tobytes()}
         return pa.Table.from_pylist([_only(rec, arrow.names)], schema=arrow)
 
-    return map_rows(tiles, send, pieces_schema).groupBy("image_id", "py", "px").applyInArrow(join, schema)
+    return spread(map_rows(tiles, send, pieces_schema), "image_id", "py", "px").groupBy("image_id", "py", "px").applyInArrow(join, schema)
 
 
 def predict_patches(patches: DataFrame, load: Callable[[], Predictor], *, patch: int = 256, batch: int = 8) -> DataFrame:
@@ -142,7 +143,7 @@ def stitch_patches(patches: DataFrame, *, patch: int = 256, tile: int = TILE) ->
         rec = {**head, "y0": y0, "x0": x0, "h": h, "w": w, "pixels": mean.tobytes()}
         return pa.Table.from_pylist([_only(rec, arrow.names)], schema=arrow)
 
-    return map_rows(patches, send, pieces_schema).groupBy("image_id", "ty", "tx").applyInArrow(join, pieces_schema)
+    return spread(map_rows(patches, send, pieces_schema), *GRID).groupBy(*GRID).applyInArrow(join, pieces_schema)
 
 
 def predict_tiles(

@@ -240,12 +240,13 @@ def select_patches(
 # ---------------------------------------------------------------- pixel masks
 
 
-def draw_segments(segments: DataFrame, keys: Sequence[str]) -> DataFrame:
+def draw_segments(segments: DataFrame, keys: Sequence[str], *, repeats: bool = False) -> DataFrame:
     """Pixels of straight lines between rounded vertices, clipped per pixel.
 
     ``segments``: x0, y0, x1, y1 (doubles) and the canvas height and width.
     Vertices are rounded half to even. Along the longer axis every step is one
     pixel; the shorter offset is the integer form of Bresenham's error rule.
+    ``repeats`` leaves shared pixels in, for a caller that merges them anyway.
     """
     ints = segments.select(
         *keys,
@@ -262,7 +263,7 @@ def draw_segments(segments: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.floor((2 * t * F.col("minor") + F.col("major")) / F.greatest(2 * F.col("major"), F.lit(1))),
     ).otherwise(F.lit(0)).cast("long")
     sx, sy = F.when(F.col("x1") >= F.col("x0"), 1).otherwise(-1), F.when(F.col("y1") >= F.col("y0"), 1).otherwise(-1)
-    return (
+    pixels = (
         ints.withColumn("steep", steep)
         .withColumn("major", major)
         .withColumn("minor", minor)
@@ -275,8 +276,8 @@ def draw_segments(segments: DataFrame, keys: Sequence[str]) -> DataFrame:
             (F.col("x0") + sx * F.when(F.col("steep"), small).otherwise(t)).cast("int").alias("x"),
         )
         .filter((F.col("y") >= 0) & (F.col("y") < F.col("height")) & (F.col("x") >= 0) & (F.col("x") < F.col("width")))
-        .distinct()
     )
+    return pixels if repeats else pixels.distinct()
 
 
 def disk_offsets(radius: int) -> list[tuple[int, int]]:

@@ -12,20 +12,30 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandflow.functions.expr import is_finite, ratio, unit
+from strandflow import session
+from strandflow.functions.expr import ratio
 from strandflow.operators import (
     accuracy,
     curves,
     graph,
     junctions,
     matching,
+    micrographs,
+    patches,
     proximity,
+    quantiles,
     rasters,
+    ridge,
+    snap,
     splits,
     stats,
+    tiles,
+    tracer,
 )
+from strandflow.plans import jobs
 from strandflow.plans import standins as S
 from strandflow.schema import METRICS
+from strandflow.sources.traces import number_curves
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -797,10 +807,8 @@ def min_max_scale(spark: SparkSession, d: str) -> DataFrame:
 )
 def image_quantiles(spark: SparkSession, d: str) -> DataFrame:
     """Exact quantiles of all pixels of a label, by narrowing histograms."""
-    from strandflow.operators.quantiles import exact_quantiles
-
     px = S.chips(spark, d).select("label", F.explode("px").alias("v"))
-    q = exact_quantiles(px, ["label"], "v", [0.01, 0.5, 0.98, 0.99])
+    q = quantiles.exact_quantiles(px, ["label"], "v", [0.01, 0.5, 0.98, 0.99])
     names = ("p01", "p50", "p98", "p99")
     return rounded(q.select("label", "n", *[F.col("q")[i].alias(c) for i, c in enumerate(names)]))
 
@@ -982,3 +990,207 @@ def split_three_way(spark: SparkSession, d: str) -> DataFrame:
 def kfold(spark: SparkSession, d: str) -> DataFrame:
     ids = S.table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"))
     return splits.kfold_splits(ids, n_folds=5, n_val=6, seed=0)
+
+
+# ---------------------------------------------------------------- images drawn from curves
+
+CANVAS_H, CANVAS_W = 120, 400
+
+
+def drawn_curves(spark: SparkSession, d: str) -> DataFrame:
+    """The canvas curves in long form."""
+    return S.curves_vec(spark, d).select(
+        F.col("filament_id").alias("image_id"),
+        F.lit("drawn").alias("filament_id"),
+        "seq",
+        F.lit(32).cast("long").alias("n"),
+        (F.lit(10.0) + F.col("seq") * 12.5).alias("x"),
+        (F.lit(60.0) + F.col("y") * 120.0).alias("y"),
+        "block",
+    )
+
+
+def drawn_mask(spark: SparkSession, d: str, width_px: int = 5) -> DataFrame:
+    return jobs.drawn_mask(drawn_segments(spark, d), width_px=width_px, tile=DRAW_TILE)
+
+
+# Tiles smaller than the canvas, so that seams and halos are exercised.
+DRAW_TILE = 128
+
+
+def _as_map(mask: DataFrame) -> DataFrame:
+    return tiles.map_tiles(mask, lambda a, _: a.astype("float32"), dtype="uint8")
+
+
+@query(
+    "stitch_tiles",
+    f"""WITH {DRAW_SQL}, disk AS (SELECT a AS dy, b AS dx FROM range(-2, 3) r(a), range(-2, 3) s(b) WHERE a * a + b * b <= 4),
+    grown AS (SELECT DISTINCT image_id, y + dy AS y, x + dx AS x FROM clipped, disk)
+    SELECT image_id, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, 1.0::DOUBLE AS v
+    FROM grown WHERE y >= 0 AND y < 120 AND x >= 0 AND x < 400""",
+)
+def stitch_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """Tiles cut into overlapping patches across their seams and blended back."""
+    full = _full_grid(_as_map(drawn_mask(spark, d)))
+    cut = patches.patches_of(full, patch=64, overlap=16, tile=DRAW_TILE)
+    back = patches.stitch_patches(cut, patch=64, tile=DRAW_TILE)
+    return rounded(tiles.tile_pixels(back, dtype="float32").select("image_id", "y", "x", "v"), 3)
+
+
+def _full_grid(sparse: DataFrame) -> DataFrame:
+    """Adds the empty tiles that a sparse mask leaves out."""
+    T_ = DRAW_TILE
+    grid = (
+        sparse.select("image_id", "height", "width")
+        .distinct()
+        .select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("height") - 1) / T_).cast("int"))).alias("ty"))
+        .select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("width") - 1) / T_).cast("int"))).alias("tx"))
+    )
+    found = sparse.select("image_id", "ty", "tx", "pixels")
+    h = F.least(F.lit(T_), F.col("height") - F.col("ty") * T_)
+    w = F.least(F.lit(T_), F.col("width") - F.col("tx") * T_)
+    blank = F.unhex(F.repeat(F.lit("00000000"), h * w))
+    return grid.join(found, ["image_id", "ty", "tx"], "left").select(
+        "image_id",
+        "ty",
+        "tx",
+        (F.col("ty") * T_).alias("y0"),
+        (F.col("tx") * T_).alias("x0"),
+        h.alias("h"),
+        w.alias("w"),
+        "height",
+        "width",
+        F.coalesce("pixels", blank).alias("pixels"),
+    )
+
+
+@query(
+    "tile_mask_scores",
+    f"""WITH {DRAW_SQL}, disk AS (SELECT a AS dy, b AS dx FROM range(-2, 3) r(a), range(-2, 3) s(b) WHERE a * a + b * b <= 4),
+    p AS (SELECT DISTINCT image_id, y + dy AS y, x + dx AS x FROM clipped, disk WHERE y + dy BETWEEN 0 AND 119 AND x + dx BETWEEN 0 AND 399),
+    t AS (SELECT DISTINCT image_id, y + dy AS y, x + dx AS x FROM clipped, disk
+          WHERE dy * dy + dx * dx <= 1 AND y + dy BETWEEN 0 AND 119 AND x + dx BETWEEN 0 AND 399),
+    n AS (SELECT image_id, count(p.y) AS np, count(t.y) AS nt, count(*) FILTER (p.y IS NOT NULL AND t.y IS NOT NULL) AS nb, count(*) AS nu
+          FROM p FULL JOIN t USING (image_id, y, x) GROUP BY ALL)
+    SELECT image_id, {r6("2 * nb / (np + nt)", "dice_labelled", 8)}, {r6("2 * nb / (np + nt)", "dice_all_pixels", 8)},
+           0.0::DOUBLE AS ignored_fraction, {r6("np / (120 * 400)", "predicted_fraction", 8)},
+           {r6("nt / (120 * 400)", "mask_fraction", 8)}, {r6("nb / nu", "iou", 8)} FROM n""",
+)
+def tile_mask_scores(spark: SparkSession, d: str) -> DataFrame:
+    wide = tiles.map_tiles(_full_grid(_as_map(drawn_mask(spark, d))), lambda a, _: (a > 0).astype("uint8"))
+    narrow = drawn_mask(spark, d, 3)
+    return rounded(jobs.mask_scores(wide, narrow, narrow.filter("false")), 8)
+
+
+def _traced(spark: SparkSession, d: str) -> DataFrame:
+    out = tracer.trace_centerlines(drawn_mask(spark, d), tile=DRAW_TILE)
+    return number_curves(out).withColumn("block", curves.block_of(F.col("seq")))
+
+
+@query("trace_drawn")
+def trace_drawn(spark: SparkSession, d: str) -> DataFrame:
+    """Drawn curves found again from their pixels, with their descriptors."""
+    return rounded(curves.curve_metrics(_traced(spark, d), curves.Layout()), 4)
+
+
+@query("ridge_drawn")
+def ridge_drawn(spark: SparkSession, d: str) -> DataFrame:
+    """Mean ridge response on drawn pixels and elsewhere, per image."""
+    image = _full_grid(_as_map(drawn_mask(spark, d)))
+    found = ridge.ridge_map(image, invert=False, sigmas=(2.0, 3.0), tile=DRAW_TILE)
+    on = image.select("image_id", "ty", "tx", F.col("pixels").alias("ink"))
+
+    schema = T.StructType(
+        [image.schema["image_id"], *[T.StructField(c, T.DoubleType()) for c in ("on", "off", "n_on", "n_off")]]
+    )
+
+    def sums(row: dict) -> list[dict]:
+        a = tiles.as_array(row).astype(float)
+        ink = tiles.as_array(row, key="ink") > 0
+        return [
+            {
+                "image_id": row["image_id"],
+                "on": float(a[ink].sum()),
+                "off": float(a[~ink].sum()),
+                "n_on": float(ink.sum()),
+                "n_off": float((~ink).sum()),
+            }
+        ]
+
+    both = tiles.map_rows(found.join(on, ["image_id", "ty", "tx"]), sums, schema)
+    return rounded(
+        both.groupBy("image_id").agg(
+            ratio(F.sum("on"), F.sum("n_on")).alias("on_mean"), ratio(F.sum("off"), F.sum("n_off")).alias("off_mean")
+        ),
+        4,
+    )
+
+
+@query("snap_drawn")
+def snap_drawn(spark: SparkSession, d: str) -> DataFrame:
+    """Curves moved six pixels off their own blurred image and snapped back."""
+    soft = ridge.blur_tiles(_full_grid(_as_map(drawn_mask(spark, d))), 2.0, tile=DRAW_TILE)
+    off = drawn_curves(spark, d).withColumn("y", F.col("y") + 6.0)
+    _, quality = snap.snap_to_ridge(off, session.cut_lineage(soft), max_shift=10.0, tile=DRAW_TILE)
+    return rounded(quality, 4)
+
+
+@query("validate_drawn")
+def validate_drawn(spark: SparkSession, d: str) -> DataFrame:
+    """The accuracy job per image: traced curves against the ones that were drawn."""
+    prob = session.cut_lineage(_full_grid(_as_map(drawn_mask(spark, d))))
+    narrow = drawn_mask(spark, d, 3)
+    manual = curves.resample(drawn_curves(spark, d), curves.Layout())
+    out = jobs.validate(prob, narrow, narrow.filter("false"), manual, tile=DRAW_TILE)
+    return rounded(out["per_image"], 4)
+
+
+# ---------------------------------------------------------------- correlation and loss
+
+CORR_SQL = V4_SQL + """,
+  shot_raw AS (SELECT vec_id, label, k, y, x, round(v * 10) / 10 AS v FROM v4),
+  cq AS (SELECT vec_id, quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi FROM v4 GROUP BY ALL),
+  sq AS (SELECT vec_id, quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi FROM shot_raw GROUP BY ALL),
+  cn AS (SELECT vec_id, k, least(greatest((v - lo) / (hi - lo + 1e-9::DOUBLE), 0), 1) AS v FROM v4 JOIN cq USING (vec_id)),
+  sn AS (SELECT vec_id, k, least(greatest((v - lo) / (hi - lo + 1e-9::DOUBLE), 0), 1) AS v FROM shot_raw JOIN sq USING (vec_id)),
+  cz AS (SELECT vec_id, k, (v - avg(v) OVER w) / (stddev_pop(v) OVER w + 1e-9::DOUBLE) AS z FROM cn WINDOW w AS (PARTITION BY vec_id)),
+  sz AS (SELECT vec_id, k, (v - avg(v) OVER w) / (stddev_pop(v) OVER w + 1e-9::DOUBLE) AS z FROM sn WINDOW w AS (PARTITION BY vec_id)),
+  score AS (SELECT c.vec_id AS image_id, s.vec_id AS shot_id, avg(c.z * s.z) AS score FROM cz c JOIN sz s ON c.k = s.k GROUP BY ALL),
+  top AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, shot_id DESC) AS r FROM score)"""
+
+
+@query(
+    "correlation_top2",
+    f"""WITH {CORR_SQL} SELECT image_id, max(shot_id) FILTER (r = 1) AS best_id, {r6("max(score) FILTER (r = 1)", "best_score", 5)},
+    max(shot_id) FILTER (r = 2) AS runner_up_id, {r6("max(score) FILTER (r = 2)", "runner_up_score", 5)},
+    max(score) FILTER (r = 1) >= 0.85 AS matched FROM top WHERE r <= 2 GROUP BY image_id""",
+)
+def correlation_top2(spark: SparkSession, d: str) -> DataFrame:
+    """Every raster against the coarsely quantised copies of all rasters."""
+    c = S.chips(spark, d).withColumn("px", F.col("px").cast("array<double>"))
+    norm = rasters.normalize_percentile(F.col("px"), eps=1e-9)
+    coarse = c.withColumn("px", F.transform("px", lambda v: F.round(v * 10) / 10))
+    images = c.select(F.col("vec_id").alias("image_id"), norm.alias("px"))
+    shots = coarse.select(F.col("vec_id").alias("shot_id"), norm.alias("px"))
+    best = micrographs.top_two(images, shots)
+    return rounded(best.withColumn("matched", F.col("best_score") >= micrographs.MATCH_THRESHOLD), 5)
+
+
+@query(
+    "dice_bce",
+    f"""WITH {V4_SQL}, z AS (SELECT a.label, a.v * 10 AS x, CAST(b.v > 0 AS INTEGER) AS t, CAST(abs(b.v) <= 0.2 AS INTEGER) AS w
+      FROM v4 a JOIN v4 b ON b.vec_id = a.vec_id + 1 AND a.k = b.k WHERE a.vec_id % 2 = 0),
+    p AS (SELECT *, (1 - t) * x + (1 + 9 * t) * (ln(1 + exp(-abs(x))) + greatest(-x, 0)) AS bce, w / (1 + exp(-x)) AS prob FROM z)
+    SELECT label, count(*) AS n, {r6("sum(bce * w) / greatest(sum(w), 1e-6) + 1 - (2 * sum(prob * t * w) + 1e-6) / (sum(prob) + sum(t * w) + 1e-6)", "loss")}
+    FROM p GROUP BY label""",
+)
+def dice_bce(spark: SparkSession, d: str) -> DataFrame:
+    c = S.chips(spark, d)
+    px = rasters.to_pixels(c, ["vec_id", "label"])
+    a = px.filter(F.col("vec_id") % 2 == 0)
+    b = px.filter(F.col("vec_id") % 2 == 1).select((F.col("vec_id") - 1).alias("vec_id"), "y", "x", F.col("v").alias("u"))
+    both = a.join(b, ["vec_id", "y", "x"])
+    loss = patches.dice_bce(
+        F.col("v") * 10, (F.col("u") > 0).cast("double"), (F.abs("u") <= 0.2).cast("double")
+    )
+    return rounded(both.groupBy("label").agg(F.count(F.lit(1)).alias("n"), loss.alias("loss")))

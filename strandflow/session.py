@@ -51,3 +51,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise an iteration's result in the shared folder (survives lost executors)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash partition into exactly the configured number of shuffle partitions.
+
+    Adaptive execution merges partitions by bytes; the Python kernels behind
+    this exchange cost far more per byte than JVM operators do, so they keep
+    the configured parallelism. A following group-by on ``cols`` adds no exchange.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *cols)
