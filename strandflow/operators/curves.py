@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandflow.functions.expr import finite, unit, wrap_angle
+from strandflow.session import spread
 
 BLOCK_ROWS = 65536
 
@@ -266,7 +267,9 @@ def with_position(
         .withColumn("total", F.last(F.col("s0") + F.col("b_len")).over(whole))
         .select(*layout.by_block, "p_x", "p_y", "q_x", "q_y", "i0", "n", "s0", "s_after", "total")
     )
-    return rows.join(edges, layout.by_block).select(
+    # The vertices are already sorted by block: a merge join adds no sort to them,
+    # and they are never broadcast, however small they look.
+    return rows.join(edges.hint("merge"), layout.by_block).select(
         *layout.by_block,
         *carry,
         (F.col("i0") + F.col("rn")).alias("i"),
@@ -306,7 +309,8 @@ def resample(
     no range join is needed. The last sample is the last vertex itself. A curve
     of one vertex is returned as it is; one of zero length gives its first vertex.
     """
-    pos = with_position(vertices, layout, carry=carry)
+    # Rows multiply below this exchange, so its partitions must not be merged by size.
+    pos = with_position(spread(vertices, *layout.by_block), layout, carry=carry)
     count = F.greatest(F.ceil(F.col("total") / F.lit(float(step))) + 1, F.lit(2)).cast("long")
     pos = pos.withColumn("m", F.when(F.col("total") > 0, count).otherwise(F.lit(1).cast("long")))
     h = F.col("total") / (F.col("m") - 1)

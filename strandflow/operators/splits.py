@@ -13,36 +13,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.session import cut_lineage
+from strandflow.operators.numbering import number_rows
 
 
 def sorted_rank(ids: DataFrame, id_col: str) -> DataFrame:
-    """0-based rank of each distinct id in ascending order, without one big sort task.
-
-    Ids are range partitioned, numbered inside each range, and shifted by the
-    sizes of the ranges before it (one row per range).
-    """
-    spark = ids.sparkSession
-    placed = cut_lineage(
-        ids.select(id_col)
-        .distinct()
-        .repartitionByRange(id_col)
-        .sortWithinPartitions(id_col)
-        .withColumn("_m", F.monotonically_increasing_id())
-    )
-    part = F.shiftright("_m", 33)
-    sizes = placed.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    rows = sorted((r["_p"], r["_n"]) for r in sizes.collect())
-    starts, total = [], 0
-    for p, n in rows:
-        starts.append((p, total))
-        total += n
-    offsets = spark.createDataFrame(starts or [(0, 0)], "_p long, _start long")
-    return placed.withColumn("_p", part).join(F.broadcast(offsets), "_p").select(
-        id_col,
-        (F.col("_start") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).alias("rank"),
-        F.lit(total).cast("long").alias("n"),
-    )
+    """0-based rank of each distinct id in ascending order, and the number of ids."""
+    distinct = ids.select(id_col).distinct()
+    ranked = number_rows(distinct, [], [id_col], "rank")
+    return ranked.withColumn("n", F.lit(ranked.count()).cast("long"))
 
 
 def _permuted(ranked: DataFrame, id_col: str, seed: int) -> DataFrame:

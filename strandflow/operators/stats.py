@@ -6,11 +6,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandflow.functions.expr import finite
 from strandflow.functions.student import t_factor
+from strandflow.operators.numbering import number_rows
 from strandflow.schema import METRICS
 
 # Resample count, seed and level of the bootstrap interval.
@@ -112,18 +113,20 @@ def bootstrap_bounds(
         ]
     )
     group = ["patient_id", "metric"]
-    whole = Window.partitionBy(*group)
     images = (
         per_image.groupBy("patient_id", group_col)
         .agg(*aggs)
         .select("patient_id", F.col(group_col).alias("image"), F.explode(items).alias("i"))
         .select("patient_id", "image", "i.*")
         .filter("c > 0")
-        .withColumn("k", F.count(F.lit(1)).over(whole))
-    )
-    return _bounds_in_tasks(images.filter(F.col("k") <= kernel_images)).unionByName(
-        _bounds_in_rows(images.filter(F.col("k") > kernel_images))
     )
+    sizes = images.groupBy(*group).agg(F.count(F.lit(1)).alias("k"))
+    images = images.join(sizes, group)
+    bounds = _bounds_in_tasks(images.filter(F.col("k") <= kernel_images))
+    large = images.filter(F.col("k") > kernel_images)
+    if sizes.filter(F.col("k") > kernel_images).isEmpty():
+        return bounds
+    return bounds.unionByName(_bounds_in_rows(large))
 
 
 BOUNDS = "patient_id {pid}, metric string, ci95_low double, ci95_high double"
@@ -161,9 +164,7 @@ def _bounds_in_tasks(images: DataFrame) -> DataFrame:
 def _bounds_in_rows(images: DataFrame) -> DataFrame:
     """The same draws as rows (group size, resample, position, times drawn)."""
     group = ["patient_id", "metric"]
-    placed = images.withColumn(
-        "pos", F.row_number().over(Window.partitionBy(*group).orderBy("image")).cast("long") - 1
-    )
+    placed = number_rows(images, group, ["image"], "pos")
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
