@@ -754,12 +754,12 @@ def pooled_recall(spark: SparkSession, d: str) -> DataFrame:
       SELECT a.vec_id // 2 AS site, a.v > 0 AS p, b.v > 0 AS t, abs(a.v) > 0.2 AS g
       FROM v4 a JOIN v4 b ON b.vec_id = a.vec_id + 1 AND a.k = b.k WHERE a.vec_id % 2 = 0)
     SELECT site,
-      {r6("CASE WHEN count(*) FILTER (p AND NOT g) + count(*) FILTER (t AND NOT g) = 0 THEN 1 ELSE 2 * count(*) FILTER (p AND t AND NOT g) / (count(*) FILTER (p AND NOT g) + count(*) FILTER (t AND NOT g)) END", "dice_labelled")},
-      {r6("CASE WHEN count(*) FILTER (p) + count(*) FILTER (t) = 0 THEN 1 ELSE 2 * count(*) FILTER (p AND t) / (count(*) FILTER (p) + count(*) FILTER (t)) END", "dice_all_pixels")},
-      {r6("CASE WHEN count(*) FILTER ((p OR t) AND NOT g) = 0 THEN 1 ELSE count(*) FILTER (p AND t AND NOT g) / count(*) FILTER ((p OR t) AND NOT g) END", "iou")},
-      {r6("CASE WHEN count(*) FILTER (p OR t) = 0 THEN 1 ELSE count(*) FILTER (p AND t) / count(*) FILTER (p OR t) END", "iou_all_pixels")},
-      {r6("count(*) FILTER (g) / count(*)", "ignored_fraction")}, {r6("count(*) FILTER (p) / count(*)", "predicted_fraction")},
-      {r6("count(*) FILTER (t) / count(*)", "mask_fraction")}
+      {r6("CASE WHEN count(*) FILTER (p AND NOT g) + count(*) FILTER (t AND NOT g) = 0 THEN 1 ELSE 2 * count(*) FILTER (p AND t AND NOT g) / (count(*) FILTER (p AND NOT g) + count(*) FILTER (t AND NOT g)) END", "dice_labelled", 9)},
+      {r6("CASE WHEN count(*) FILTER (p) + count(*) FILTER (t) = 0 THEN 1 ELSE 2 * count(*) FILTER (p AND t) / (count(*) FILTER (p) + count(*) FILTER (t)) END", "dice_all_pixels", 9)},
+      {r6("CASE WHEN count(*) FILTER ((p OR t) AND NOT g) = 0 THEN 1 ELSE count(*) FILTER (p AND t AND NOT g) / count(*) FILTER ((p OR t) AND NOT g) END", "iou", 9)},
+      {r6("CASE WHEN count(*) FILTER (p OR t) = 0 THEN 1 ELSE count(*) FILTER (p AND t) / count(*) FILTER (p OR t) END", "iou_all_pixels", 9)},
+      {r6("count(*) FILTER (g) / count(*)", "ignored_fraction", 9)}, {r6("count(*) FILTER (p) / count(*)", "predicted_fraction", 9)},
+      {r6("count(*) FILTER (t) / count(*)", "mask_fraction", 9)}
     FROM z GROUP BY site""",
 )
 def mask_overlap(spark: SparkSession, d: str) -> DataFrame:
@@ -771,7 +771,7 @@ def mask_overlap(spark: SparkSession, d: str) -> DataFrame:
         F.transform("b", lambda v: v > 0),
         F.transform("a", lambda v: F.abs(v.cast("double")) > 0.2),
     )
-    return rounded(a.join(b, "site").select("site", scores.alias("s")).select("site", "s.*"))
+    return rounded(a.join(b, "site").select("site", scores.alias("s")).select("site", "s.*"), 9)
 
 
 NORM_SQL = V4_SQL + """, nq AS (SELECT vec_id, quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi FROM v4 GROUP BY ALL),
@@ -1072,14 +1072,14 @@ def _full_grid(sparse: DataFrame) -> DataFrame:
           WHERE dy * dy + dx * dx <= 1 AND y + dy BETWEEN 0 AND 119 AND x + dx BETWEEN 0 AND 399),
     n AS (SELECT image_id, count(p.y) AS np, count(t.y) AS nt, count(*) FILTER (p.y IS NOT NULL AND t.y IS NOT NULL) AS nb, count(*) AS nu
           FROM p FULL JOIN t USING (image_id, y, x) GROUP BY ALL)
-    SELECT image_id, {r6("2 * nb / (np + nt)", "dice_labelled", 8)}, {r6("2 * nb / (np + nt)", "dice_all_pixels", 8)},
-           0.0::DOUBLE AS ignored_fraction, {r6("np / (120 * 400)", "predicted_fraction", 8)},
-           {r6("nt / (120 * 400)", "mask_fraction", 8)}, {r6("nb / nu", "iou", 8)} FROM n""",
+    SELECT image_id, {r6("2 * nb / (np + nt)", "dice_labelled", 12)}, {r6("2 * nb / (np + nt)", "dice_all_pixels", 12)},
+           0.0::DOUBLE AS ignored_fraction, {r6("np / (120 * 400)", "predicted_fraction", 12)},
+           {r6("nt / (120 * 400)", "mask_fraction", 12)}, {r6("nb / nu", "iou", 12)} FROM n""",
 )
 def tile_mask_scores(spark: SparkSession, d: str) -> DataFrame:
     wide = tiles.map_tiles(_full_grid(_as_map(drawn_mask(spark, d))), lambda a, _: (a > 0).astype("uint8"))
     narrow = drawn_mask(spark, d, 3)
-    return rounded(jobs.mask_scores(wide, narrow, narrow.filter("false")), 8)
+    return rounded(jobs.mask_scores(wide, narrow, narrow.filter("false")), 12)
 
 
 def _traced(spark: SparkSession, d: str) -> DataFrame:
