@@ -117,22 +117,15 @@ def prepare_micrographs(rows: DataFrame, *, smooth: float = SMOOTH_SIGMA, carry:
     return map_rows(rows, prepare, schema)
 
 
-def prepare_shots(rows: DataFrame, shapes: DataFrame, *, smooth: float = SMOOTH_SIGMA) -> DataFrame:
-    """Screenshots resized to each micrograph shape, normalised and smoothed.
-
-    ``shapes`` (height, width) are the few distinct sizes of the reduced micrographs.
-    """
-    sized = rows.withColumn("k", F.lit(0)).join(
-        shapes.select(F.col("height").alias("to_h"), F.col("width").alias("to_w")).distinct().withColumn("k", F.lit(0)), "k"
-    )
-    schema = T.StructType(rows.schema.fields)
+def prepare_shots(rows: DataFrame, height: int, width: int, *, smooth: float = SMOOTH_SIGMA) -> DataFrame:
+    """Screenshots resized to the reduced micrographs' size, normalised and smoothed."""
 
     def prepare(row: dict) -> list[dict]:
         a = np.asarray(row["px"], dtype=float).reshape(row["height"], row["width"])
-        a = _blurred(_normalized(resize_bilinear(a, row["to_h"], row["to_w"])), smooth)
-        return [{**row, "height": row["to_h"], "width": row["to_w"], "px": _normalized(a).ravel().tolist()}]
+        a = _blurred(_normalized(resize_bilinear(a, height, width)), smooth)
+        return [{**row, "height": height, "width": width, "px": _normalized(a).ravel().tolist()}]
 
-    return map_rows(sized, prepare, schema)
+    return map_rows(rows, prepare, rows.schema)
 
 
 def _masked_scores(x: np.ndarray, shots: np.ndarray, mask: np.ndarray | None) -> np.ndarray:
@@ -207,12 +200,13 @@ def match_micrographs(
     reduced = gather_rows(reduce_tiles(micrographs, factor, tile=tile))
     ready = prepare_micrographs(reduced)
     shot_rows = gather_rows(screenshots)
-    shapes = reduced.select("height", "width").distinct()
-    shots = prepare_shots(shot_rows, shapes).withColumnRenamed("image_id", "shot_id")
     found: DataFrame | None = None
-    for shape in shapes.collect():
-        same = (F.col("height") == shape["height"]) & (F.col("width") == shape["width"])
-        part = top_two(ready.filter(same), shots.filter(same), mask="ice")
+    # Cameras produce a handful of image sizes; each is matched on its own grid.
+    for size in micrographs.select("height", "width").distinct().collect():
+        h, w = size["height"] // factor, size["width"] // factor
+        same = ready.filter((F.col("height") == h) & (F.col("width") == w))
+        shots = prepare_shots(shot_rows, h, w).withColumnRenamed("image_id", "shot_id")
+        part = top_two(same, shots, mask="ice")
         found = part if found is None else found.unionByName(part)
     if found is None:
         raise ValueError("no micrographs")

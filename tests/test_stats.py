@@ -2,9 +2,10 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from helpers import float_tiles
 
 from strandflow.functions.student import t_quantile
-from strandflow.operators.quantiles import exact_quantiles
+from strandflow.operators.quantiles import exact_quantiles, tile_quantiles
 from strandflow.operators.stats import BOOT_SEED, N_BOOT, summarize_per_patient
 
 
@@ -74,3 +75,18 @@ def test_exact_quantiles(spark, rounds):
     got = {r["k"]: r["q"] for r in exact_quantiles(df, ["k"], "v", probs, slices=8, rounds=rounds).collect()}
     for k, a in data.items():
         np.testing.assert_allclose(got[k], np.quantile(a, probs), rtol=1e-12)
+
+
+def test_tile_quantiles(spark):
+    rng = np.random.default_rng(7)
+    images = {
+        "noise": rng.normal(size=(50, 70)),
+        "ties": rng.integers(-2, 3, size=(40, 40)).astype(float),
+        "narrow": 1.0 + rng.random((30, 30)) * 1e-4,
+        "flat": np.full((10, 10), -3.5),
+        "dot": np.array([[2.0]]),
+    }
+    probs = [0.0, 0.01, 0.5, 0.98, 0.99, 1.0]
+    got = {r["image_id"]: r["q"] for r in tile_quantiles(float_tiles(spark, images, 16), probs).collect()}
+    for name, a in images.items():
+        np.testing.assert_allclose(got[name], np.quantile(a.astype(np.float32).astype(float), probs), rtol=1e-12, atol=1e-15)
