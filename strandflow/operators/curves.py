@@ -208,8 +208,12 @@ def with_position(
     """
     w = layout.window()
     running = w.rowsBetween(Window.unboundedPreceding, -1)
+    # Stated here, so that the filters the join below infers are the same on
+    # both of its sides and the exchange of the vertices is used twice.
+    known = " AND ".join(f"`{c}` IS NOT NULL" for c in layout.by_block)
     rows = (
-        vertices.select(
+        vertices.filter(known)
+        .select(
             *layout.by_block,
             *layout.order,
             *carry,

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from strandflow.functions.arrays import gaussian_blur, gaussian_radius
-from strandflow.operators.tiles import TILE, _only, as_array, map_rows, tile_schema
+from strandflow.operators.tiles import TILE, only_fields, as_array, map_rows, tile_schema
 
 # Acceptance score, smoothing, and the carbon film's scale and level.
 MATCH_THRESHOLD = 0.85
@@ -76,7 +76,7 @@ def gather_rows(tiles: DataFrame, *, carry: Sequence[str] = ()) -> DataFrame:
         out = np.zeros((rows[0]["height"], rows[0]["width"]), dtype=np.float32)
         for r in rows:
             out[r["y0"] : r["y0"] + r["h"], r["x0"] : r["x0"] + r["w"]] = as_array(r)
-        return pa.Table.from_pylist([_only({**rows[0], "px": out.ravel()}, arrow.names)], schema=arrow)
+        return pa.Table.from_pylist([only_fields({**rows[0], "px": out.ravel()}, arrow.names)], schema=arrow)
 
     return tiles.groupBy("image_id").applyInArrow(join, schema)
 

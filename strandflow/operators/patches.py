@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from strandflow.operators.ridge import normalize_tiles
-from strandflow.operators.tiles import GRID, TILE, _only, as_array, map_rows, tile_schema
+from strandflow.operators.tiles import GRID, TILE, only_fields, as_array, map_rows, tile_schema
 from strandflow.session import spread
 
 Predictor = Callable[[np.ndarray], np.ndarray]
@@ -77,7 +77,7 @@ def patches_of(
         if h < patch or w < patch:
             a = np.pad(a, ((0, patch - h), (0, patch - w)), mode="reflect")
         rec = {**head, "y": head["py"], "x": head["px"], "pixels": np.ascontiguousarray(a).tobytes()}
-        return pa.Table.from_pylist([_only(rec, arrow.names)], schema=arrow)
+        return pa.Table.from_pylist([only_fields(rec, arrow.names)], schema=arrow)
 
     return spread(map_rows(tiles, send, pieces_schema), "image_id", "py", "px").groupBy("image_id", "py", "px").applyInArrow(join, schema)
 
@@ -141,7 +141,7 @@ def stitch_patches(patches: DataFrame, *, patch: int = 256, tile: int = TILE) ->
             total[:, r["y0"] - y0 : r["y0"] - y0 + r["h"], r["x0"] - x0 : r["x0"] - x0 + r["w"]] += part
         mean = (total[0] / np.maximum(total[1], 1e-8)).astype(np.float32)
         rec = {**head, "y0": y0, "x0": x0, "h": h, "w": w, "pixels": mean.tobytes()}
-        return pa.Table.from_pylist([_only(rec, arrow.names)], schema=arrow)
+        return pa.Table.from_pylist([only_fields(rec, arrow.names)], schema=arrow)
 
     return spread(map_rows(patches, send, pieces_schema), *GRID).groupBy(*GRID).applyInArrow(join, pieces_schema)
 

@@ -286,7 +286,13 @@ def test_streaming_append(spark, tmp_path):
     assert got == pytest.approx({"a": 5.0, "b": 10.0})
 
 
-def test_validation_job(spark):
+def test_label_totals(spark):
+    counts = spark.createDataFrame([("a", 10, 5, 100), ("b", 30, 15, 100)], "image_id string, positive long, ignored long, pixels long")
+    r = jobs.label_totals(counts, points_df(spark, {"f": [(0, 0)], "g": [(0, 0)]}, "a")).first()
+    assert (r["positive_fraction"], r["ignored_fraction"], r["n_fibrils"]) == (0.2, 0.1, 2)
+
+
+def test_validation_job(spark, tmp_path):
     from helpers import bool_tiles, float_tiles
 
     shape = (160, 320)
@@ -309,6 +315,10 @@ def test_validation_job(spark):
     assert out["metric_errors"].count() == len(METRICS)
     s = out["summary"].first()
     assert s["overall_recall"] == 0.5 and s["n_images"] == 1
+    tables = {k: v for k, v in out.items() if k != "summary"}
+    sinks.write_tables(tables, str(tmp_path), out["summary"])
+    assert json.loads((tmp_path / "summary.json").read_text())["total_matched"] == 1
+    assert spark.read.option("header", True).csv(str(tmp_path / "matched_fibrils")).count() == 1
     folds = spark.createDataFrame([(0, "img", "test"), (1, "img", "train")], "fold int, image_id string, split string")
     cv = jobs.cross_validate(out["per_image"], out["matched_fibrils"], folds)
     assert cv["recall"].first()["recall"] == 0.5
