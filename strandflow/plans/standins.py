@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from strandflow.operators.curves import Layout, explode_points
 
-# Fixed value: 2024-01-01 00:00 UTC in microseconds, the first day of ``events``.
-EPOCH_US = 1_704_067_200_000_000
+# The first day of ``events``, and a day in microseconds.
+EPOCH = "2024-01-01"
 DAY_US = 86_400_000_000
 
 V1 = Layout(keys=("image_id", "filament_id"), order=("us",))
@@ -29,7 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def curves_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V1: a user's events in time order; x in hours, y the value. Blocks are days."""
-    us = F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(EPOCH_US)
+    ts = F.col("ts")
+    # Wall-clock fields, so the session's time zone plays no part.
+    us = (
+        F.datediff(F.to_date(ts), F.lit(EPOCH).cast("date")).cast("long") * DAY_US
+        + F.hour(ts).cast("long") * 3_600_000_000
+        + F.minute(ts).cast("long") * 60_000_000
+        + (F.date_part(F.lit("SECOND"), ts) * 1_000_000).cast("long")
+    )
     image = F.col("user_id") % 30
     return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("filament_id"),
