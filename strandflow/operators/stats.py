@@ -13,6 +13,7 @@ from strandflow.functions.expr import finite
 from strandflow.functions.student import t_factor
 from strandflow.operators.numbering import number_rows
 from strandflow.schema import METRICS
+from strandflow.session import cut_lineage
 
 # Resample count, seed and level of the bootstrap interval.
 N_BOOT = 2000
@@ -113,7 +114,8 @@ def bootstrap_bounds(
         ]
     )
     group = ["patient_id", "metric"]
-    images = (
+    # Read by both branches below, and far smaller than the curves.
+    images = cut_lineage(
         per_image.groupBy("patient_id", group_col)
         .agg(*aggs)
         .select("patient_id", F.col(group_col).alias("image"), F.explode(items).alias("i"))
