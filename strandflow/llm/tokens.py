@@ -122,7 +122,7 @@ class Encoder:
         self.word_ids, self.piece_ids = Ragged(), Ragged()
         # Piece 0 is empty, piece 1 the newline.
         self.pieces[""], self.pieces["\n"] = 0, 1
-        self.piece_ids.extend(np.array([self.newline], dtype=np.uint32), np.zeros(2, dtype=np.int64), np.array([0, 1]))
+        self.piece_ids.extend(np.array([max(0, self.newline)], dtype=np.uint32), np.zeros(2, dtype=np.int64), np.array([0, 1]))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and how many each text has."""

@@ -33,7 +33,8 @@ WINDOW, STRIDE = 48, 32
 BUCKETS, DIM = 1 << 14, 8
 HIDDEN, ATTENTION = 8, 8
 SAMPLE_DOCS, SAMPLE_WORDS = 1500, 4000
-EPOCHS, WARM_UP, BATCH, RATE = 10, 2, 128, 0.01
+#: Steps, about; the passes over the sample follow from them, the first WARM_UP share on random windows.
+STEPS, WARM_UP, BATCH, RATE = 400, 0.2, 128, 0.01
 #: Words whose inputs a scoring task keeps (some 400 bytes each).
 KEPT_WORDS = 250_000
 #: Windows scored at once.
@@ -81,7 +82,7 @@ class Network:
         rng = np.random.default_rng(seed)
         near = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape).astype(np.float32)
         self.key = uuid.uuid4().hex
-        self.p = {"word": rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32), "char": rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)}
+        self.p = {"word": np.zeros((BUCKETS, DIM), dtype=np.float32), "char": np.zeros((BUCKETS, DIM), dtype=np.float32)}
         for d in "fb":
             self.p |= {f"in_{d}": near(2 * DIM, 3 * HIDDEN), f"rec_{d}": near(HIDDEN, 3 * HIDDEN), f"bias_{d}": np.zeros(3 * HIDDEN, dtype=np.float32)}
         self.p |= {"att": near(2 * HIDDEN, ATTENTION), "att_v": near(ATTENTION), "out": near(2 * HIDDEN), "out_b": np.zeros(1, dtype=np.float32)}
@@ -238,11 +239,12 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network:
     y = labels.astype(np.float32)
     state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
-    for epoch in range(EPOCHS):
+    epochs = max(5, -(-STEPS // -(-2 * len(texts) // BATCH)))
+    for epoch in range(epochs):
         shuffled = rng.permutation(len(text))
         _, at = np.unique(text[shuffled], return_index=True)
         random = shuffled[at]
-        if epoch < WARM_UP:
+        if epoch < WARM_UP * epochs:
             more = rng.permutation(len(text))
             _, at = np.unique(text[more], return_index=True)
             chosen = np.concatenate([random, more[at]])
@@ -257,7 +259,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network:
             _, at = np.unique(text[ranked], return_index=True)
             chosen = np.concatenate([ranked[at], random[y[text[random]] == 0]])
         rng.shuffle(chosen)
-        rate = RATE * (1 - 0.8 * epoch / EPOCHS)
+        rate = RATE * (1 - 0.8 * epoch / epochs)
         for a in range(0, len(chosen), BATCH):
             part = chosen[a : a + BATCH]
             order, index, size = windows_of(numbered, text[part], first[part], length[part])
@@ -265,6 +267,9 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network:
             # The character runs of the words in this batch.
             flat = np.repeat(first_run[used] - (np.cumsum(count[used]) - count[used]), count[used]) + np.arange(count[used].sum())
             x = net.inputs(own[used], runs[flat], count[used])
+            # Half of the words show their characters only, so that these learn to speak for words never seen.
+            shown = (rng.random((len(used), 1)) < 0.5).astype(np.float32)
+            x[:, :DIM] *= shown
             logit, kept = net.forward(net.projected(x), inverse.reshape(index.shape), size, keep=True)
             d_logit = (sigmoid(logit) - y[text[part[order]]]) / np.float32(len(part))
             g, d_table = net.backward(d_logit, kept, index.shape)
@@ -275,7 +280,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network:
                 g[f"in_{d}"], g[f"bias_{d}"] = x.T @ d_rows[:, cols], d_rows[:, cols].sum(axis=0)
                 d_x += d_rows[:, cols] @ net.p[f"in_{d}"].T
             g["word"], g["char"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["char"])
-            np.add.at(g["word"], own[used], d_x[:, :DIM])
+            np.add.at(g["word"], own[used], d_x[:, :DIM] * shown)
             np.add.at(g["char"], runs[flat], np.repeat(d_x[:, DIM:] / np.sqrt(count[used])[:, None].astype(np.float32), count[used], axis=0))
             step += 1
             for k, grad in g.items():
@@ -296,7 +301,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_docs: int = SAMPLE_DOCS)
     ids = marked.filter(F.pmod(F.xxhash64("id_"), F.lit(1 << 30)) < share * float(1 << 30))
     rows = docs.join(ids, docs["doc_id"] == ids["id_"]).select("toxic", "text").filter("text IS NOT NULL")
     rows = rows.filter(F.size(F.split("text", " ")) <= SAMPLE_WORDS).toPandas()
-    rows = rows[[bool(words(t)) for t in rows["text"]]].sort_values(["toxic", "text"])
+    rows = rows.loc[np.array([bool(words(t)) for t in rows["text"]], dtype=bool)].sort_values(["toxic", "text"])
     if rows["toxic"].nunique() < 2:
         return float(rows["toxic"].max()) if len(rows) else 0.0
     return fit(rows["text"].tolist(), rows["toxic"].to_numpy())

@@ -148,7 +148,7 @@ class PackageReader:
         tail = self.read_at(length, self.size - length)
         at = len(tail)
         while (at := tail.rfind(b"PK\x05\x06", 0, at)) >= 0:
-            if at + 22 + struct.unpack_from("<H", tail, at + 20)[0] == len(tail):
+            if at + 22 <= len(tail) and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] == len(tail):
                 break
         if at < 0:
             raise ValueError("not a ZIP package: no end of central directory")

@@ -53,8 +53,8 @@ def with_grams(df: DataFrame, shorts: list[int]) -> DataFrame:
     df = df.withColumn("g", paired(F.col("h"), 1, lambda a, b: F.xxhash64(a, b)))
     df = df.withColumn("g", paired(F.col("g"), 2, lambda a, b: F.xxhash64(a, b)))
     for m in shorts:
-        own = f"s{m}"
-        df = df.withColumn(own, F.transform("h", lambda x, m=m: F.xxhash64(F.lit(m), x)))
+        own, length = f"s{m}", F.lit(m)
+        df = df.withColumn(own, F.transform("h", lambda x: F.xxhash64(length, x)))
         for by in range(1, m):
             df = df.withColumn(own, F.zip_with(head(F.col(own), 1), tail(F.col("h"), by), lambda a, b: F.xxhash64(a, b)))
     return df.drop("h")
@@ -129,9 +129,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         n >= SPAN,
         F.array_distinct(F.flatten(F.transform(places("g"), lambda p: F.sequence(F.greatest(p - (SPAN - GRAM), F.lit(0)), F.least(p, n - SPAN))))),
     ).otherwise(F.array().cast("array<int>"))
-    starts = F.transform(around, lambda s: F.struct(s.alias("at"), F.lit(SPAN).alias("span")))
+    windows = lambda at, span: F.transform(at, lambda s: F.struct(s.alias("at"), F.lit(span).alias("span")))
+    starts = windows(around, SPAN)
     for m in shorts:
-        starts = F.concat(starts, F.transform(places(f"s{m}"), lambda s, m=m: F.struct(s.alias("at"), F.lit(m).alias("span"))))
+        starts = F.concat(starts, windows(places(f"s{m}"), m))
     near = near.withColumn("starts", starts)
     tried = near.select(
         "doc_id",
