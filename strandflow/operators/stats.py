@@ -2,28 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandflow.functions.expr import finite
 from strandflow.functions.student import t_factor
 from strandflow.operators.numbering import number_rows
 from strandflow.schema import METRICS
-from strandflow.session import cut_lineage
 
 # Resample count, seed and level of the bootstrap interval.
 N_BOOT = 2000
 BOOT_SEED = 0
 ALPHA = 0.05
 
-# Images per (patient, metric) up to which one task holds the per-image sums
-# (two doubles each) while it draws; larger groups are drawn and summed as rows.
-KERNEL_IMAGES = 200_000
-
 
 def _metrics_of(per_image: DataFrame, metrics: Sequence[str] | None) -> list[str]:
     return list(metrics) if metrics else [m for m in METRICS if m in per_image.columns]
@@ -35,7 +28,6 @@ def summarize_per_patient(
     metrics: Sequence[str] | None = None,
     bootstrap: bool = False,
     group_col: str = "image_id",
-    kernel_images: int = KERNEL_IMAGES,
 ) -> DataFrame:
     """n, mean, sample sd and 95% interval for each (patient, metric).
 
@@ -68,7 +60,7 @@ def summarize_per_patient(
         clean.groupBy("patient_id").agg(*aggs).select("patient_id", F.explode(items).alias("s"))
     ).select("patient_id", "s.*")
     if bootstrap and group_col in per_image.columns:
-        bounds = bootstrap_bounds(clean, names, group_col, kernel_images=kernel_images)
+        bounds = bootstrap_bounds(clean, names, group_col)
         return stats.join(bounds, ["patient_id", "metric"], "left")
     half = t_factor(F.col("n") - 1, ALPHA) * F.col("sd") / F.sqrt(F.col("n").cast("double"))
     one = F.col("n") == 1
@@ -83,23 +75,19 @@ def summarize_per_patient(
     )
 
 
-def _draws(n: int, count: int, rng: np.random.Generator) -> np.ndarray:
-    """``count`` resamples of ``n`` image positions, continuing the generator's stream."""
-    return rng.integers(0, n, size=(count, n))
+def draw_place(b: Column, j: Column, k: Column) -> Column:
+    """Which of ``k`` images draw ``j`` of resample ``b`` takes: a seeded hash, the same in every engine."""
+    text = F.concat_ws(":", F.lit(BOOT_SEED), b, j)
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") % k
 
 
-def bootstrap_bounds(
-    per_image: DataFrame,
-    metrics: Sequence[str],
-    group_col: str = "image_id",
-    *,
-    kernel_images: int = KERNEL_IMAGES,
-) -> DataFrame:
+def bootstrap_bounds(per_image: DataFrame, metrics: Sequence[str], group_col: str = "image_id") -> DataFrame:
     """Percentile interval of the mean, resampling whole images.
 
     A resample only needs each image's sum and count, so curves are reduced to
-    one row per image before anything is drawn. The generator is re-seeded per
-    (patient, metric); draws index the sorted image ids.
+    one row per image first. Each image then asks, for every resample, for the
+    image drawn in its stead; draws meet the images they name by place, and are
+    summed map side. Work is spread over (image, resample), whatever a group's size.
     """
     aggs = []
     for m in metrics:
@@ -114,79 +102,24 @@ def bootstrap_bounds(
         ]
     )
     group = ["patient_id", "metric"]
-    # Read by both branches below, and far smaller than the curves.
-    images = cut_lineage(
+    images = (
         per_image.groupBy("patient_id", group_col)
         .agg(*aggs)
         .select("patient_id", F.col(group_col).alias("image"), F.explode(items).alias("i"))
         .select("patient_id", "image", "i.*")
         .filter("c > 0")
     )
-    sizes = images.groupBy(*group).agg(F.count(F.lit(1)).alias("k"))
-    images = images.join(sizes, group)
-    bounds = _bounds_in_tasks(images.filter(F.col("k") <= kernel_images))
-    large = images.filter(F.col("k") > kernel_images)
-    if sizes.filter(F.col("k") > kernel_images).isEmpty():
-        return bounds
-    return bounds.unionByName(_bounds_in_rows(large))
-
-
-BOUNDS = "patient_id {pid}, metric string, ci95_low double, ci95_high double"
-
-
-def _bounds_in_tasks(images: DataFrame) -> DataFrame:
-    pid = images.schema["patient_id"].dataType.simpleString()
-
-    def bounds(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("image", kind="stable")
-        s, c = pdf["s"].to_numpy(float), pdf["c"].to_numpy(float)
-        if c.sum() < 2:
-            low = high = s.sum() / c.sum()
-        else:
-            rng = np.random.default_rng(BOOT_SEED)
-            means = np.empty(N_BOOT)
-            chunk = max(1, min(N_BOOT, 4_000_000 // len(s)))
-            for start in range(0, N_BOOT, chunk):
-                pick = _draws(len(s), min(chunk, N_BOOT - start), rng)
-                means[start : start + len(pick)] = s[pick].sum(axis=1) / c[pick].sum(axis=1)
-            low, high = np.percentile(means, [100 * ALPHA / 2, 100 * (1 - ALPHA / 2)])
-        head = pdf.iloc[0]
-        return pd.DataFrame(
-            {
-                "patient_id": [head["patient_id"]],
-                "metric": [head["metric"]],
-                "ci95_low": [float(low)],
-                "ci95_high": [float(high)],
-            }
-        )
-
-    return images.groupBy("patient_id", "metric").applyInPandas(bounds, BOUNDS.format(pid=pid))
-
-
-def _bounds_in_rows(images: DataFrame) -> DataFrame:
-    """The same draws as rows (group size, resample, position, times drawn)."""
-    group = ["patient_id", "metric"]
     placed = number_rows(images, group, ["image"], "pos")
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for n in pdf["k"].tolist():
-                rng = np.random.default_rng(BOOT_SEED)
-                for b in range(N_BOOT):
-                    pos, times = np.unique(_draws(n, 1, rng)[0], return_counts=True)
-                    yield pd.DataFrame({"k": n, "b": b, "pos": pos, "times": times})
-
+    sizes = placed.groupBy(*group).agg(F.count(F.lit(1)).alias("k"))
     draws = (
-        images.select("k")
-        .distinct()
-        .mapInPandas(draw, "k long, b int, pos long, times long")
+        placed.join(sizes, group)
+        .select(*group, "pos", "k", F.explode(F.sequence(F.lit(0), F.lit(N_BOOT - 1))).alias("b"))
+        .select(*group, "b", draw_place(F.col("b"), F.col("pos"), F.col("k")).alias("pos"))
     )
     means = (
-        placed.join(draws, ["k", "pos"])
+        draws.join(placed.select(*group, "pos", "s", "c"), [*group, "pos"])
         .groupBy(*group, "b")
-        .agg(
-            (F.sum(F.col("s") * F.col("times")) / F.sum(F.col("c") * F.col("times"))).alias("mean"),
-        )
+        .agg((F.sum("s") / F.sum("c")).alias("mean"))
     )
     q = F.percentile("mean", F.array(F.lit(ALPHA / 2), F.lit(1 - ALPHA / 2)))
     return (

@@ -381,23 +381,25 @@ def endpoints(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "bezier_flatten",
-    f"""WITH {V3_SQL}, p AS (
-      SELECT filament_id,
-        max(x) FILTER (ord = 0) AS x0, max(x) FILTER (ord = 1) AS x1, max(x) FILTER (ord = 2) AS x2, max(x) FILTER (ord = 3) AS x3,
-        max(y) FILTER (ord = 0) AS y0, max(y) FILTER (ord = 1) AS y1, max(y) FILTER (ord = 2) AS y2, max(y) FILTER (ord = 3) AS y3
-      FROM v3 GROUP BY ALL),
+    f"""WITH {V3_SQL},
+    m AS (SELECT filament_id, ord // 3 AS cubic, ord % 3 AS c, x, y FROM v3
+          UNION ALL SELECT filament_id, ord // 3 - 1, 3, x, y FROM v3 WHERE ord % 3 = 0 AND ord > 0),
+    p AS (
+      SELECT filament_id, cubic,
+        max(x) FILTER (c = 0) AS x0, max(x) FILTER (c = 1) AS x1, max(x) FILTER (c = 2) AS x2, max(x) FILTER (c = 3) AS x3,
+        max(y) FILTER (c = 0) AS y0, max(y) FILTER (c = 1) AS y1, max(y) FILTER (c = 2) AS y2, max(y) FILTER (c = 3) AS y3
+      FROM m WHERE cubic < 10 GROUP BY ALL),
     q AS (SELECT *, k / 23.0::DOUBLE AS t FROM p, range(0, 24) AS r(k))
-    SELECT filament_id, CAST(k AS INTEGER) AS k,
+    SELECT filament_id, CAST(cubic AS INTEGER) AS cubic, CAST(k AS INTEGER) AS k,
       {r6("power(1 - t, 3) * x0 + 3 * power(1 - t, 2) * t * x1 + 3 * (1 - t) * t * t * x2 + power(t, 3) * x3", "x")},
       {r6("power(1 - t, 3) * y0 + 3 * power(1 - t, 2) * t * y1 + 3 * (1 - t) * t * t * y2 + power(t, 3) * y3", "y")}
     FROM q""",
 )
 def bezier_flatten(spark: SparkSession, d: str) -> DataFrame:
-    c = S.curves_arrays(spark, d)
-    pts = curves.flatten_bezier(*[F.col("points")[i] for i in range(4)])
-    return rounded(
-        c.select("filament_id", F.posexplode(pts).alias("k", "p")).select("filament_id", "k", "p.*")
-    )
+    """The vertices as consecutive cubics, each starting where the last one ended."""
+    cubics = S.curves_arrays(spark, d).select("filament_id", F.posexplode(F.sequence(F.lit(0), F.lit(27), F.lit(3))).alias("cubic", "at"), "points")
+    pts = curves.flatten_bezier(*[F.element_at("points", F.col("at") + i + 1) for i in range(4)])
+    return rounded(cubics.select("filament_id", "cubic", F.posexplode(pts).alias("k", "p")).select("filament_id", "cubic", "k", "p.*"))
 
 
 # ---------------------------------------------------------------- statistics
@@ -416,7 +418,23 @@ def patient_summary_orders(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.summarize_per_patient(m))
 
 
-@query("patient_summary_bootstrap")
+BOOTSTRAP_SQL = f"""WITH {V1_SQL}, {metrics_sql("v1", "image_id, filament_id", carry="patient_id")},
+  long AS (UNPIVOT (SELECT patient_id, image_id, {", ".join(METRICS)} FROM metrics)
+           ON {", ".join(METRICS)} INTO NAME metric VALUE v),
+  agg AS (SELECT patient_id, metric, count(*) AS n, avg(v) AS mean, stddev_samp(v) AS sd
+          FROM long WHERE isfinite(v) GROUP BY ALL),
+  img AS (SELECT patient_id, metric, image_id, sum(v) AS s, count(*) AS c FROM long WHERE isfinite(v) GROUP BY ALL),
+  pos AS (SELECT *, row_number() OVER (PARTITION BY patient_id, metric ORDER BY image_id) - 1 AS pos,
+          count(*) OVER (PARTITION BY patient_id, metric) AS k FROM img),
+  draws AS (SELECT patient_id, metric, b, ('0x' || substr(md5('{stats.BOOT_SEED}:' || b || ':' || pos), 1, 13))::BIGINT % k AS pos
+            FROM pos, range(0, {stats.N_BOOT}) AS r(b)),
+  means AS (SELECT patient_id, metric, b, sum(s) / sum(c) AS m FROM draws JOIN pos USING (patient_id, metric, pos) GROUP BY ALL),
+  q AS (SELECT patient_id, metric, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM means GROUP BY ALL)
+  SELECT patient_id, metric, n, {r6("mean", "mean")}, {r6("sd", "sd")}, {r6("low", "ci95_low")}, {r6("high", "ci95_high")}
+  FROM agg LEFT JOIN q USING (patient_id, metric)"""
+
+
+@query("patient_summary_bootstrap", BOOTSTRAP_SQL)
 def patient_summary_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     m = curves.curve_metrics(S.curves_events(spark, d), S.V1, carry=["patient_id"])
     return rounded(stats.summarize_per_patient(m, bootstrap=True))
@@ -969,24 +987,36 @@ def mapping_upsert(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "append_union",
     f"""WITH {V1_SQL}, {metrics_sql("v1", "image_id, filament_id", carry="patient_id")}
-    SELECT image_id, patient_id, filament_id, {METRIC_COLS}, n_points FROM metrics WHERE image_id < 10
-    UNION ALL SELECT image_id, patient_id, filament_id, {METRIC_COLS}, n_points FROM metrics WHERE image_id < 20""",
+    SELECT image_id, patient_id, filament_id, {METRIC_COLS}, n_points FROM metrics WHERE image_id < 20
+    UNION ALL SELECT image_id, patient_id, filament_id, {METRIC_COLS}, n_points FROM metrics WHERE image_id >= 10""",
 )
 def append_union(spark: SparkSession, d: str) -> DataFrame:
     """Appending a second run keeps both: overlapping images appear twice."""
     m = curves.curve_metrics(S.curves_events(spark, d), S.V1, carry=["patient_id"])
     cols = ["image_id", "patient_id", "filament_id", *METRICS, "n_points"]
-    return rounded(m.filter("image_id < 10").select(cols).unionByName(m.filter("image_id < 20").select(cols)))
+    return rounded(m.filter("image_id < 20").select(cols).unionByName(m.filter("image_id >= 10").select(cols)))
 
 
-@query("split_three_way")
+@query(
+    "split_three_way",
+    """WITH o AS (SELECT image_id, row_number() OVER (ORDER BY md5('0:' || image_id), image_id) - 1 AS place, count(*) OVER () AS n
+                  FROM (SELECT DISTINCT vec_id AS image_id FROM embeddings))
+    SELECT image_id, CASE WHEN place < n // 5 THEN 'test' WHEN place < n // 5 + n // 5 THEN 'val' ELSE 'train' END AS split FROM o""",
+)
 def split_three_way(spark: SparkSession, d: str) -> DataFrame:
     ids = S.table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"))
     n = ids.count()
     return splits.split_images(ids, n_val=n // 5, n_test=n // 5, seed=0)
 
 
-@query("kfold")
+@query(
+    "kfold",
+    """WITH o AS (SELECT image_id, row_number() OVER (ORDER BY md5('0:' || image_id), image_id) - 1 AS place
+                  FROM (SELECT DISTINCT vec_id AS image_id FROM embeddings)),
+    f AS (SELECT fold::INTEGER AS fold, image_id, place % 5 = fold AS test FROM o, range(0, 5) AS r(fold)),
+    v AS (SELECT *, row_number() OVER (PARTITION BY fold, test ORDER BY md5((fold + 1) || ':' || image_id), image_id) AS k FROM f)
+    SELECT fold, image_id, CASE WHEN test THEN 'test' WHEN k <= 6 THEN 'val' ELSE 'train' END AS split FROM v""",
+)
 def kfold(spark: SparkSession, d: str) -> DataFrame:
     ids = S.table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"))
     return splits.kfold_splits(ids, n_folds=5, n_val=6, seed=0)
