@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ def patches_of(
     A patch reaching past a small image is completed by reflection.
     """
     if overlap >= patch:
-        raise ValueError(f"overlap ({overlap}) must be smaller than patch ({patch})")
+        raise ValueError(f"patches of {patch} cannot share {overlap} pixels")
     id_field = tiles.schema["image_id"]
     ints = [T.StructField(c, T.IntegerType()) for c in ("py", "px", "y0", "x0", "h", "w", "height", "width")]
     pieces_schema = T.StructType([id_field, *ints, T.StructField("pixels", T.BinaryType())])
@@ -154,15 +155,10 @@ def predict_tiles(
     return stitch_patches(predict_patches(cut, load, patch=patch, batch=batch), patch=patch, tile=tile)
 
 
-def augmented(arrays: Sequence[np.ndarray], rng: np.random.Generator) -> list[np.ndarray]:
-    """The same random quarter turns and mirror flips for every array."""
-    turns, mirror, flip = int(rng.integers(4)), rng.random() < 0.5, rng.random() < 0.5
-    out = [np.rot90(a, turns) for a in arrays]
-    if mirror:
-        out = [a[:, ::-1] for a in out]
-    if flip:
-        out = [a[::-1] for a in out]
-    return [np.ascontiguousarray(a) for a in out]
+def symmetric(arrays: Sequence[np.ndarray], which: int) -> list[np.ndarray]:
+    """Every array under the same of the square's eight symmetries: bit 0 swaps the axes, bits 1 and 2 turn them round."""
+    rows, cols = slice(None, None, -1 if which & 2 else 1), slice(None, None, -1 if which & 4 else 1)
+    return [np.ascontiguousarray((a.T if which & 1 else a)[rows, cols]) for a in arrays]
 
 
 def training_patches(
@@ -172,8 +168,8 @@ def training_patches(
     """Patch rows with ``pixels``, ``mask`` and ``weight`` (0 on unknown pixels).
 
     Patches with hardly any annotation are left out: with partial annotation an
-    empty patch is no trustworthy negative. ``seed`` turns augmentation on, one
-    generator per patch, so results do not depend on partitioning.
+    empty patch is no trustworthy negative. ``seed`` turns augmentation on: a hash
+    of seed and patch picks its symmetry, so results do not depend on partitioning.
     """
     key = ["image_id", "y", "x"]
     size = {"patch": patch, "overlap": overlap, "tile": tile}
@@ -193,8 +189,7 @@ def training_patches(
         unknown = np.frombuffer(row["ignore"], np.uint8) if row["ignore"] else np.zeros(patch * patch, np.uint8)
         w = 1 - unknown.reshape(patch, patch)
         if seed is not None:
-            words = [seed, row["y"], row["x"], *str(row["image_id"]).encode()]
-            a, t, w = augmented([a, t, w], np.random.default_rng(words))
+            a, t, w = symmetric([a, t, w], crc32(f"{seed}:{row['image_id']}:{row['y']}:{row['x']}".encode()) & 7)
         return [{**row, "pixels": a.tobytes(), "mask": t.tobytes(), "weight": w.astype(np.uint8).tobytes()}]
 
     return map_rows(both, build, schema)

@@ -164,7 +164,7 @@ def overlap_ratio(num: Column, den: Column) -> Column:
 def tile_starts(extent: Column, patch: int, overlap: int) -> Column:
     """Start offsets along one axis; the last tile is pulled flush with the edge."""
     if overlap >= patch:
-        raise ValueError(f"overlap ({overlap}) must be smaller than patch ({patch})")
+        raise ValueError(f"tiles of {patch} cannot share {overlap} pixels")
     last = extent - F.lit(patch)
     return F.when(extent <= patch, F.array(F.lit(0))).otherwise(
         F.array_union(F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(patch - overlap)), F.array(last))

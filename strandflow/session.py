@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +23,8 @@ def build_session(master: str | None = None, app: str = "strandflow", **conf: st
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Iterations leave checkpoints behind; those no longer referred to are deleted.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
@@ -47,6 +51,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, for clusters where it is not installed on them."""
+    root = Path(__file__).resolve().parent
+    made = shutil.make_archive(str(Path(tempfile.mkdtemp()) / root.name), "zip", root.parent, root.name)
+    spark.sparkContext.addPyFile(made)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise an iteration's result in the shared folder (survives lost executors)."""
     ensure_checkpoint_dir(df.sparkSession)

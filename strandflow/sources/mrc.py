@@ -39,7 +39,7 @@ class MrcHeader:
 
     def frame_offset(self, frame: int) -> int:
         if self.sections > 1 and not 0 <= frame < self.sections:
-            raise IndexError(f"frame {frame} out of range for stack of {self.sections}")
+            raise IndexError(f"frame {frame} is out of range: the stack has {self.sections}")
         picked = frame if self.sections > 1 else 0
         return self.offset + picked * self.width * self.height * self.dtype.itemsize
 

@@ -2,12 +2,14 @@
 
 The batch jobs append to that table run by run; here Structured Streaming picks
 up new trace files as they land. A micro-batch holds whole files, so each curve
-is complete when it is measured, and the checkpoint keeps a file from being
-measured twice.
+is complete when it is measured; the checkpoint remembers what has been read, and
+a batch repeated after a failure overwrites the rows it had written.
 """
 
 from __future__ import annotations
 
+from hashlib import md5
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +19,7 @@ from strandflow.config import Config
 from strandflow.operators.curves import Layout, with_position
 from strandflow.plans.jobs import metrics_from_traces
 from strandflow.sources.mrc import with_image_id
-from strandflow.sources.sinks import append_per_image
+from strandflow.sources.sinks import put_per_image
 
 TRACE_CSV = T.StructType(
     [
@@ -46,13 +48,16 @@ def measure_new_traces(
         .select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
     )
 
-    def measure(batch: DataFrame, _: int) -> None:
+    # A batch that is repeated after a failure replaces what it had written.
+    stream = md5(checkpoint.encode()).hexdigest()
+
+    def measure(batch: DataFrame, number: int) -> None:
         rows = with_image_id(batch.filter("filament_id is not null")).withColumn(
             "row", F.monotonically_increasing_id()
         )
         pos = with_position(rows, Layout(order=("row",))).filter("n >= 2")
         curves = pos.select("image_id", "filament_id", F.col("i").alias("seq"), "x", "y", "block")
-        append_per_image(metrics_from_traces(images, curves, patient_id=patient_id, config=config), out)
+        put_per_image(metrics_from_traces(images, curves, patient_id=patient_id, config=config), out, f"stream-{stream}-{number}")
 
     return (
         files.writeStream.foreachBatch(measure)
