@@ -3,6 +3,9 @@
     python -m strandflow.cli metrics-from-rois img.mrc traces.csv --patient P1 --out outputs
     python -m strandflow.cli trace img.mrc --patient P1 --out outputs
     python -m strandflow.cli summarize outputs/per_image --out outputs/per_patient
+    python -m strandflow.cli validate labelled_set --split val --out outputs/validation
+    python -m strandflow.cli match micrographs screenshots --mapping outputs/mapping
+    python -m strandflow.cli import-deck decks --out outputs/decks
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from strandflow.operators.stats import summarize_per_patient
 from strandflow.plans import jobs
 from strandflow.session import build_session
 from strandflow.sources import sinks
+from strandflow.sources.images import read_grayscale
 from strandflow.sources.mrc import image_table, read_mrc
 from strandflow.sources.traces import read_traces
 
@@ -35,6 +39,21 @@ def _parser() -> argparse.ArgumentParser:
         p.add_argument("--pixel-size-a", type=float, default=None)
         p.add_argument("--config", default=None)
         p.add_argument("--no-overlay", dest="overlay", action="store_false")
+    p = sub.add_parser("validate")
+    p.add_argument("folder")
+    p.add_argument("--split", choices=("train", "val", "test"), default=None)
+    p.add_argument("--n-val", type=int, default=6)
+    p.add_argument("--n-test", type=int, default=6)
+    p.add_argument("--seed", type=int, default=0)
+    p.add_argument("--config", default=None)
+    p.add_argument("--out", default="outputs/validation")
+    p = sub.add_parser("match")
+    p.add_argument("micrographs")
+    p.add_argument("screenshots")
+    p.add_argument("--mapping", default="outputs/mapping")
+    p = sub.add_parser("import-deck")
+    p.add_argument("decks")
+    p.add_argument("--out", default="outputs/decks")
     p = sub.add_parser("summarize")
     p.add_argument("per_image")
     p.add_argument("--out", default="outputs/per_patient")
@@ -49,7 +68,22 @@ def main(argv: list[str] | None = None) -> None:
         rows = sinks.read_per_image(spark, args.per_image)
         sinks.write_summary(summarize_per_patient(rows, bootstrap=args.bootstrap), args.out)
         return
+    if args.command == "import-deck":
+        jobs.import_decks(spark, args.decks, args.out).show(truncate=False)
+        return
+    if args.command == "match":
+        shots = read_grayscale(spark, args.screenshots)
+        matches, warnings = jobs.match_and_record(read_mrc(spark, args.micrographs), shots, args.mapping)
+        matches.show(truncate=False)
+        if not warnings.isEmpty():
+            print("screenshots of several pixel sizes:", warnings.first()["pixel_sizes_a"])
+        return
     cfg = Config.from_yaml(args.config) if args.config else Config()
+    if args.command == "validate":
+        jobs.validate_set(
+            spark, args.folder, args.out, split=args.split, n_val=args.n_val, n_test=args.n_test, seed=args.seed, config=cfg
+        )["summary"].show(truncate=False)
+        return
     if args.pixel_size_a is not None:
         cfg.pixel_size_a = args.pixel_size_a
     tiles = read_mrc(spark, args.mrc, pixel_size_a=cfg.pixel_size_a)

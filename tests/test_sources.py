@@ -338,3 +338,37 @@ def test_validation_job(spark, tmp_path):
     folds = spark.createDataFrame([(0, "img", "test"), (1, "img", "train")], "fold int, image_id string, split string")
     cv = jobs.cross_validate(out["per_image"], out["matched_fibrils"], folds)
     assert cv["recall"].first()["recall"] == 0.5
+
+
+def test_validation_of_a_labelled_set(spark, tmp_path):
+    (tmp_path / "set" / "images").mkdir(parents=True)
+    (tmp_path / "set" / "traces").mkdir()
+    for k in range(2):
+        img, curves = jobs.synthetic_micrograph((128, 160), n=2, seed=k)
+        grey = np.clip(255 * (img - img.min()) / np.ptp(img), 0, 255).astype(np.uint8)
+        (tmp_path / "set" / "images" / f"m{k}.png").write_bytes(png_bytes(grey))
+        lines = "".join(f"c{i},{x},{y}\n" for i, c in enumerate(curves) for x, y in c)
+        (tmp_path / "set" / "traces" / f"m{k}.csv").write_text("filament_id,x,y\n" + lines)
+    folder, out = str(tmp_path / "set"), str(tmp_path / "out")
+    tables = jobs.validate_set(spark, folder, out, snap=False)
+    assert tables["per_image"].count() == 2
+    assert spark.read.option("header", True).csv(f"{out}/per_image_validation").count() == 2
+    assert json.loads((tmp_path / "out" / "summary.json").read_text())
+    first = {r["run"] for r in spark.read.parquet(f"{folder}/labels/done").collect()}
+    # Only the image whose traces changed is labelled again.
+    text = (tmp_path / "set" / "traces" / "m1.csv").read_text()
+    (tmp_path / "set" / "traces" / "m1.csv").write_text(text + "new,1,1\nnew,90,90\n")
+    jobs.validate_set(spark, folder, out, snap=False)
+    done = spark.read.parquet(f"{folder}/labels/done").collect()
+    assert [r["image_id"] for r in done if r["run"] not in first] == ["m1"] and len(first) == 1
+
+
+def test_deck_outputs(spark, tmp_path):
+    line = f"<a:moveTo>{pts((0, 0))}</a:moveTo><a:lnTo>{pts((100, 100))}</a:lnTo>"
+    (tmp_path / "in").mkdir()
+    deck(tmp_path / "in" / "a.pptx", freeform((1000, 2000, 1000, 1000), line))
+    deck(tmp_path / "in" / "b.pptx", "")
+    got = {(r["image_id"], r["problem"]) for r in jobs.import_decks(spark, str(tmp_path / "in"), str(tmp_path / "out")).collect()}
+    assert got == {("a_slide01", "no number nearby"), ("b_slide01", "no traces")}
+    assert spark.read.option("header", True).csv(str(tmp_path / "out" / "traces")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "out" / "pictures")).count() == 2
