@@ -21,7 +21,7 @@ from strandflow.plans import jobs
 from strandflow.session import build_session
 from strandflow.sources import sinks
 from strandflow.sources.images import read_grayscale
-from strandflow.sources.mrc import image_table, read_mrc
+from strandflow.sources.mrc import read_mrc, read_mrc_headers
 from strandflow.sources.traces import read_traces
 
 
@@ -87,7 +87,7 @@ def main(argv: list[str] | None = None) -> None:
     if args.pixel_size_a is not None:
         cfg.pixel_size_a = args.pixel_size_a
     tiles = read_mrc(spark, args.mrc, pixel_size_a=cfg.pixel_size_a)
-    images = image_table(tiles)
+    images = read_mrc_headers(spark, args.mrc, pixel_size_a=cfg.pixel_size_a)
     if args.command == "trace":
         per_image, curves = jobs.trace_and_measure(tiles, images, patient_id=args.patient, config=cfg)
     else:

@@ -13,10 +13,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from strandflow.operators.tiles import TILE, map_rows, tile_schema
 
@@ -84,6 +86,20 @@ class _Files(InputPartition):
     paths: list
 
 
+# Headers read by one task, and bytes of tiles handed to Spark at once.
+HEADERS_A_TASK, BATCH_BYTES = 256, 4 << 20
+HEADER_ROW = T.StructType(
+    [
+        T.StructField("image_id", T.StringType()),
+        T.StructField("path", T.StringType()),
+        T.StructField("height", T.IntegerType()),
+        T.StructField("width", T.IntegerType()),
+        T.StructField("pixel_size_a", T.DoubleType()),
+        T.StructField("pixel_size_nm", T.DoubleType()),
+    ]
+)
+
+
 class _MrcReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.root = options["path"]
@@ -91,6 +107,7 @@ class _MrcReader(DataSourceReader):
         self.tile = int(options.get("tile", TILE))
         size = options.get("pixel_size_a")
         self.pixel_size_a = float(size) if size not in (None, "") else None
+        self.headers = str(options.get("headers", "")).lower() == "true"
 
     def partitions(self) -> list[InputPartition]:
         if os.path.isdir(self.root):
@@ -99,10 +116,33 @@ class _MrcReader(DataSourceReader):
             found = sorted(glob.glob(self.root))
         if not found:
             raise FileNotFoundError(f"no .mrc files at {self.root}")
-        return [_Files([p]) for p in found]
+        each = HEADERS_A_TASK if self.headers else 1
+        return [_Files(found[i : i + each]) for i in range(0, len(found), each)]
+
+    def read(self, partition: _Files) -> Iterator:
+        return self.read_headers(partition) if self.headers else self.read_tiles(partition)
 
-    def read(self, partition: _Files) -> Iterator[tuple]:
-        """One band of tiles is in memory at a time."""
+    def read_headers(self, partition: _Files) -> Iterator[tuple]:
+        for path in partition.paths:
+            with open(path, "rb") as fh:
+                head = parse_header(fh.read(HEADER_BYTES))
+            size = self.pixel_size_a if self.pixel_size_a is not None else (head.pixel_size_a or 1.0)
+            yield os.path.splitext(os.path.basename(path))[0], path, head.height, head.width, size, size / 10
+
+    def read_tiles(self, partition: _Files) -> Iterator[pa.RecordBatch]:
+        """One band of tiles is in memory at a time, and goes to Spark in batches of a few MB."""
+        kind = to_arrow_schema(tile_schema(EXTRA))
+        rows, held = [], 0
+        for row in self.tiles(partition):
+            rows.append(dict(zip(kind.names, row, strict=True)))
+            held += len(row[9])
+            if held >= BATCH_BYTES:
+                yield pa.RecordBatch.from_pylist(rows, schema=kind)
+                rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=kind)
+
+    def tiles(self, partition: _Files) -> Iterator[tuple]:
         for path in partition.paths:
             with open(path, "rb") as fh:
                 head = parse_header(fh.read(HEADER_BYTES))
@@ -130,7 +170,7 @@ class MrcDataSource(DataSource):
         return "mrc"
 
     def schema(self) -> T.StructType:
-        return tile_schema(EXTRA)
+        return HEADER_ROW if str(self.options.get("headers", "")).lower() == "true" else tile_schema(EXTRA)
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return _MrcReader(self.options)
@@ -147,6 +187,15 @@ def read_mrc(
     return reader.load(path)
 
 
+def read_mrc_headers(spark: SparkSession, path: str, *, pixel_size_a: float | None = None) -> DataFrame:
+    """What ``image_table`` gives, from the headers alone: no pixel is read."""
+    spark.dataSource.register(MrcDataSource)
+    reader = spark.read.format("mrc").option("headers", True)
+    if pixel_size_a is not None:
+        reader = reader.option("pixel_size_a", pixel_size_a)
+    return reader.load(path)
+
+
 def decode_mrc(
     files: DataFrame, *, frame: int = 0, pixel_size_a: float | None = None, tile: int = TILE
 ) -> DataFrame:

@@ -19,7 +19,7 @@ from strandflow.schema import METRICS, PER_IMAGE
 from strandflow.sources import sinks
 from strandflow.sources.decks import read_deck
 from strandflow.sources.images import picture_size, png_bytes, read_grayscale, read_pictures
-from strandflow.sources.mrc import decode_mrc, image_table, parse_header, read_mrc, write_mrc
+from strandflow.sources.mrc import decode_mrc, image_table, parse_header, read_mrc, read_mrc_headers, write_mrc
 from strandflow.sources.traces import labelled_images, parse_roi, read_traces
 from strandflow.streaming.append import measure_new_traces
 
@@ -33,6 +33,8 @@ def test_mrc_round_trip(spark, tmp_path):
     tiles = read_mrc(spark, str(tmp_path), tile=128)
     np.testing.assert_array_equal(assemble(tiles.filter("image_id = 'm1'"), a.shape), a)
     info = {r["image_id"]: r for r in image_table(tiles).collect()}
+    heads = {r["image_id"]: r for r in read_mrc_headers(spark, str(tmp_path)).collect()}
+    assert {k: r.asDict() for k, r in heads.items()} == {k: r.asDict() for k, r in info.items()}
     assert info["m1"]["pixel_size_a"] == pytest.approx(3.3, rel=1e-6) and info["m2"]["pixel_size_a"] == 1.0
     assert info["m1"]["pixel_size_nm"] == pytest.approx(0.33, rel=1e-6)
     over = image_table(read_mrc(spark, str(tmp_path / "m1.mrc"), pixel_size_a=7.0)).first()
