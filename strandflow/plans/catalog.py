@@ -602,14 +602,45 @@ def merge_junctions(spark: SparkSession, d: str) -> DataFrame:
 
 NODE_SIDE = 0.2
 
-JUNCTION_SQL = f"""WITH {FIELD_SQL}, {arc_sql("field", "image_id, filament_id")}, {ENDS_SQL},
+JUNCTION_CTE = f"""{FIELD_SQL}, {arc_sql("field", "image_id, filament_id")}, {ENDS_SQL},
     e AS (SELECT image_id, CAST(floor(x / {NODE_SIDE}) AS BIGINT) AS nx, CAST(floor(y / {NODE_SIDE}) AS BIGINT) AS ny,
                  filament_id * 2 + CASE WHEN at_start THEN 0 ELSE 1 END AS ending, -dx AS dx, -dy AS dy FROM ends),
     q AS (SELECT a.image_id, a.nx, a.ny, a.ending AS a, b.ending AS b, -(a.dx * b.dx + a.dy * b.dy) AS c
           FROM e a JOIN e b ON a.image_id = b.image_id AND a.nx = b.nx AND a.ny = b.ny AND a.ending < b.ending
-          WHERE a.ending // 2 <> b.ending // 2)
-    SELECT image_id, nx, ny, a, b, {r6("(c - cos(radians(60))) / (1 - cos(radians(60)))", "quality")}
-    FROM q WHERE c >= cos(radians(60))"""
+          WHERE a.ending // 2 <> b.ending // 2)"""
+QUALITY = "(c - cos(radians(60))) / (1 - cos(radians(60)))"
+JUNCTION_SQL = f"""WITH {JUNCTION_CTE}
+    SELECT image_id, nx, ny, a, b, {r6(QUALITY, "quality")} FROM q WHERE c >= cos(radians(60))"""
+
+# Up to eight ends every set of disjoint pairs is listed and the best kept; above, pairs are taken best first.
+MATCHING_CTE = f"""{JUNCTION_CTE},
+    sized AS (SELECT q.*, {QUALITY} AS w, degree, row_number() OVER (PARTITION BY image_id, nx, ny ORDER BY {QUALITY} DESC, a, b) AS k
+              FROM q JOIN (SELECT image_id, nx, ny, count(*) AS degree FROM e GROUP BY ALL) USING (image_id, nx, ny)
+              WHERE c >= cos(radians(60))),
+    sets AS (SELECT DISTINCT image_id, nx, ny, 0::BIGINT AS k, []::BIGINT[] AS used, 0::DOUBLE AS total FROM sized WHERE degree <= 8
+             UNION ALL
+             SELECT m.image_id, m.nx, m.ny, s.k, list_concat(m.used, [s.a, s.b]), m.total + s.w
+             FROM sets m JOIN sized s ON s.image_id = m.image_id AND s.nx = m.nx AND s.ny = m.ny AND s.k > m.k
+             WHERE NOT list_has_any(m.used, [s.a, s.b])),
+    taken AS (SELECT DISTINCT image_id, nx, ny, 0::BIGINT AS k, []::BIGINT[] AS used FROM sized WHERE degree > 8
+              UNION ALL
+              SELECT m.image_id, m.nx, m.ny, s.k, CASE WHEN list_has_any(m.used, [s.a, s.b]) THEN m.used ELSE list_concat(m.used, [s.a, s.b]) END
+              FROM taken m JOIN sized s ON s.image_id = m.image_id AND s.nx = m.nx AND s.ny = m.ny AND s.k = m.k + 1),
+    chosen AS (SELECT arg_max(used, total) AS used FROM sets GROUP BY image_id, nx, ny
+               UNION ALL SELECT arg_max(used, k) FROM taken GROUP BY image_id, nx, ny),
+    pairs AS (SELECT used[i] AS a, used[i + 1] AS b FROM (SELECT used, unnest(range(1, len(used), 2)) AS i FROM chosen))"""
+
+# Chains are walked from every free end and kept from the lower one; what no walk reaches is a loop.
+CHAINS_SQL = f"""WITH RECURSIVE {MATCHING_CTE},
+    nb AS (SELECT a AS e, b AS f FROM pairs UNION ALL SELECT b, a FROM pairs),
+    walk AS (SELECT e AS entry, e, 0::BIGINT AS pos
+             FROM (SELECT unnest([2 * vec_id, 2 * vec_id + 1]) AS e FROM embeddings) WHERE e NOT IN (SELECT e FROM nb)
+             UNION ALL SELECT entry, f, pos + 1 FROM walk JOIN nb ON nb.e = xor(walk.e, 1)),
+    open_chains AS (SELECT walk.* FROM walk JOIN (SELECT entry, arg_max(xor(e, 1), pos) AS other FROM walk GROUP BY entry) USING (entry) WHERE entry < other),
+    ring AS (SELECT 2 * vec_id AS entry, 2 * vec_id AS e, 0::BIGINT AS pos FROM embeddings WHERE vec_id NOT IN (SELECT e // 2 FROM walk)
+             UNION ALL SELECT entry, f, pos + 1 FROM ring JOIN nb ON nb.e = xor(ring.e, 1) WHERE f <> entry),
+    loops AS (SELECT entry, e, pos FROM (SELECT *, min(e // 2) OVER (PARTITION BY entry) AS low FROM ring) WHERE entry // 2 = low)
+    SELECT entry AS chain, pos, e // 2 AS piece, e % 2 = 1 AS flipped FROM (SELECT * FROM open_chains UNION ALL SELECT * FROM loops)"""
 
 
 def _node_ends(spark: SparkSession, d: str) -> DataFrame:
@@ -629,12 +660,12 @@ def junction_pairs(spark: SparkSession, d: str) -> DataFrame:
     return rounded(junctions.admissible_pairs(_node_ends(spark, d), ["image_id", "nx", "ny"]))
 
 
-@query("junction_matching")
+@query("junction_matching", f"WITH RECURSIVE {MATCHING_CTE} SELECT a, b FROM pairs")
 def junction_matching(spark: SparkSession, d: str) -> DataFrame:
     return junctions.pair_ends(_node_ends(spark, d), ["image_id", "nx", "ny"])
 
 
-@query("curve_chains")
+@query("curve_chains", CHAINS_SQL)
 def curve_chains(spark: SparkSession, d: str) -> DataFrame:
     """Curves strung together through paired junction ends, in order and orientation."""
     pairs = junctions.pair_ends(_node_ends(spark, d), ["image_id", "nx", "ny"])
