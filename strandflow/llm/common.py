@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from strandflow.session import ensure_checkpoint_dir
 
 #: Rows of one Arrow batch are worked on in slices of about this many text bytes.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -126,6 +126,14 @@ class ContextTree:
 TREES: dict[str, ContextTree] = {}
 
 
+def kept_tree(tree: ContextTree) -> ContextTree:
+    """The worker's own copy of a tree, with its tables made once; only the last one is kept."""
+    if tree.key not in TREES:
+        TREES.clear()
+        TREES[tree.key] = tree
+    return TREES[tree.key]
+
+
 def train(labelled: DataFrame, *, order: int = ORDER, sample_docs: int = SAMPLE_DOCS, max_nodes: int = MAX_NODES) -> ContextTree:
     """Learn from ``doc_id, text, lang``; rows with a NULL in text or lang teach nothing."""
     rows = labelled.select("doc_id", "text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL")
@@ -183,8 +191,7 @@ def predict(docs: DataFrame, tree: ContextTree) -> DataFrame:
     out = docs.select("doc_id", "text", (remainder("doc_id", 4) == 2).alias("held_out"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        tree = TREES.setdefault(own.key, own)
+        tree = kept_tree(shared.value)
         for batch in batches:
             for row, texts in slices(batch.column(1), SLICE):
                 lang, value, mean = [UNDETERMINED] * len(texts), [0.0] * len(texts), [None] * len(texts)
@@ -223,8 +230,7 @@ def in_known_languages(docs: DataFrame) -> DataFrame:
     def fits(column):
         import pandas as pd
 
-        own = tree.value
-        model = TREES.setdefault(own.key, own)
+        model = kept_tree(tree.value)
         good = np.zeros(len(column), dtype=bool)
         if not model.languages:
             return pd.Series(good)

@@ -34,8 +34,10 @@ SEED = 42
 BANDS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 #: Members of a bucket that meet in one task.
 BLOCK = 4096
-#: (query, word) comparisons worked on at once.
-CHUNK = 1 << 16
+#: (query, word) comparisons worked on at once: at most 64 times as many links are held.
+CHUNK = 1 << 13
+#: Rows of whole buckets that are compared together.
+ROWS = 1 << 15
 #: Planes between two looks for words that are out of reach.
 LOOK = 8
 
@@ -222,7 +224,7 @@ def links(prints: DataFrame) -> DataFrame:
             held = np.concatenate([held, new])
             # The last group may go on in the next batch.
             cut = int(np.flatnonzero((held[:, :3] != held[-1, :3]).any(axis=1)).max(initial=-1)) + 1
-            if cut >= CHUNK:
+            if cut >= ROWS:
                 yield forest(held[:cut])
                 held = held[cut:]
         if len(held):

@@ -12,13 +12,14 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterable
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 
-#: Words kept before the store starts anew (some 200 bytes each).
-KEPT_WORDS = 1_000_000
+#: Words kept before the rare ones are given up (some 300 bytes each).
+KEPT_WORDS = 300_000
 #: Characters handed to the tokenizer at once.
 PIECE = 100_000
 SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
@@ -55,8 +56,8 @@ def encoder(name: str) -> "Encoder":
 class Numbers(dict):
     """Numbers its keys in the order of first use."""
 
-    def __init__(self) -> None:
-        super().__init__()
+    def __init__(self, keys: Iterable[str] = ()) -> None:
+        super().__init__(zip(keys, count()))
         self.new: list[str] = []
 
     def __missing__(self, key: str) -> int:
@@ -88,6 +89,35 @@ class Ragged:
         total = int(end[-1]) if len(end) else 0
         return self.pool[np.repeat(self.first[at] - (end - size), size) + np.arange(total)], size
 
+    def take_known(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same where some sizes are -1: those have no ids."""
+        size = self.size[at]
+        return self.take(at[size > 0])[0], size
+
+
+class Known:
+    """Keys, their id lists, and how often each was asked for."""
+
+    def __init__(self) -> None:
+        self.number, self.ids, self.uses = Numbers(), Ragged(), np.zeros(0, dtype=np.int64)
+
+    def used(self, at: np.ndarray) -> None:
+        times = np.bincount(at, minlength=len(self.number))
+        times[: len(self.uses)] += self.uses
+        self.uses = times
+
+    def thin(self, most: int, always: int = 0) -> None:
+        """Give up what was used once, and the less used beyond ``most``; the first ``always`` stay."""
+        uses = np.concatenate([self.uses, np.zeros(len(self.number) - len(self.uses), dtype=np.int64)])
+        uses[:always] = 1 << 40
+        stay = np.flatnonzero(uses > 1)
+        if len(stay) > most:
+            stay = np.sort(stay[np.argsort(-uses[stay], kind="stable")[:most]])
+        keys = np.array(list(self.number), dtype=object)[stay]
+        ids, size = self.ids.take_known(stay)
+        self.number, self.ids, self.uses = Numbers(keys.tolist()), Ragged(), uses[stay] // 2
+        self.ids.extend(ids, np.cumsum(np.maximum(size, 0)) - np.maximum(size, 0), size)
+
 
 class Encoder:
     """Ids of texts, as the tokenizer at ``path`` gives them without special tokens."""
@@ -115,29 +145,28 @@ class Encoder:
         self.merges = Tokenizer(self.tok.model)
         self.merges.pre_tokenizer = pre_tokenizers.Split(chr(int(BYTE_CHARS[10])), "isolated")
         self.kept = kept
-        self.forget()
 
-    def forget(self) -> None:
-        self.words, self.pieces = Numbers(), Numbers()
-        self.word_ids, self.piece_ids = Ragged(), Ragged()
         # Piece 0 is empty, piece 1 the newline.
-        self.pieces[""], self.pieces["\n"] = 0, 1
-        self.piece_ids.extend(np.array([max(0, self.newline)], dtype=np.uint32), np.zeros(2, dtype=np.int64), np.array([0, 1]))
+        self.words, self.pieces = Known(), Known()
+        self.pieces.number = Numbers(["", "\n"])
+        self.pieces.ids.extend(np.array([max(0, self.newline)], dtype=np.uint32), np.zeros(2, dtype=np.int64), np.array([0, 1]))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and how many each text has."""
         if not self.by_word:
             return join([self.whole(t) for t in texts])
-        if len(self.words) > self.kept or len(self.pieces) > self.kept:
-            self.forget()
+        for known, always in ((self.words, 0), (self.pieces, 2)):
+            if len(known.number) > self.kept:
+                known.thin(self.kept // 2, always)
         # A word at the start of a line keeps its newline; so does the first of a text, for now.
         split = [("\n" + t).replace("\n", " \n").split(" ")[1:] for t in texts]
         counts = np.array([len(w) for w in split], dtype=np.int64)
-        at = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(counts.sum()))
-        self.learn(self.words.taken())
+        at = np.fromiter(map(self.words.number.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(counts.sum()))
+        self.learn(self.words.number.taken())
+        self.words.used(at)
         start = np.cumsum(counts) - counts
-        known = np.minimum.reduceat(self.word_ids.size[at], start) >= 0 if len(texts) else np.zeros(0, dtype=bool)
-        ids, size = self.word_ids.take(at if known.all() else at[np.repeat(known, counts)])
+        known = np.minimum.reduceat(self.words.ids.size[at], start) >= 0 if len(texts) else np.zeros(0, dtype=bool)
+        ids, size = self.words.ids.take(at if known.all() else at[np.repeat(known, counts)])
         n = np.add.reduceat(size, np.cumsum(counts[known]) - counts[known]) if known.any() else np.zeros(0, dtype=np.int64)
         ids = np.delete(ids, np.cumsum(n) - n)  # the newline put before the first word
         if known.all():
@@ -151,7 +180,7 @@ class Encoder:
             return
         parts = np.zeros((len(new), 3), dtype=np.int64)
         bad = np.zeros(len(new), dtype=bool)
-        number, letters = self.pieces.__getitem__, []
+        number, letters = self.pieces.number.__getitem__, []
         for i, w in enumerate(new):
             if w[:1] == "\n":
                 parts[i, 0], body, space = 1, w[1:], ""
@@ -166,17 +195,18 @@ class Encoder:
                 parts[i, 1] = number(space + body)
             else:  # white space next to white space, or other than a space or newline
                 bad[i] = True
-        self.learn_pieces(self.pieces.taken(), np.array(letters, dtype=np.int64))
-        ids, size = self.piece_ids.take(parts.ravel())
+        self.learn_pieces(self.pieces.number.taken(), np.array(letters, dtype=np.int64))
+        self.pieces.used(parts.ravel())
+        ids, size = self.pieces.ids.take(parts.ravel())
         size = size.reshape(-1, 3).sum(axis=1)
-        self.word_ids.extend(ids, np.cumsum(size) - size, np.where(bad, -1, size))
+        self.words.ids.extend(ids, np.cumsum(size) - size, np.where(bad, -1, size))
 
     def learn_pieces(self, new: list[str], runs: np.ndarray) -> None:
         """Encode many pieces in one line, a newline between any two, and cut the ids there.
 
         ``runs`` numbers the pieces that are runs of letters; some are old.
         """
-        runs = runs - len(self.piece_ids.size)
+        runs = runs - len(self.pieces.ids.size)
         letters = np.zeros(len(new), dtype=bool)
         letters[runs[runs >= 0]] = True
         for tok, chosen in ((self.merges, np.flatnonzero(letters)), (self.tok, np.flatnonzero(~letters))):
@@ -197,7 +227,7 @@ class Encoder:
         both.extend(*letter_ids)
         both.extend(*other_ids)
         ids, size = both.take(order)
-        self.piece_ids.extend(ids, np.cumsum(size) - size, size)
+        self.pieces.ids.extend(ids, np.cumsum(size) - size, size)
 
     def cut(self, got: list[np.ndarray], count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         edge = np.array([self.newline], dtype=np.uint32)
