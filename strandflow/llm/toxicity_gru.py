@@ -298,9 +298,13 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_docs: int = SAMPLE_DOCS)
     if len(found) < 2:
         return float(min(found, default=0))
     share = F.when(F.col("toxic") == 1, F.lit(sample_docs / found[1])).otherwise(F.lit(sample_docs / found[0]))
-    ids = marked.filter(F.pmod(F.xxhash64("id_"), F.lit(1 << 30)) < share * float(1 << 30))
-    rows = docs.join(ids, docs["doc_id"] == ids["id_"]).select("toxic", "text").filter("text IS NOT NULL")
-    rows = rows.filter(F.size(F.split("text", " ")) <= SAMPLE_WORDS).toPandas()
+    chosen = marked.filter(F.pmod(F.xxhash64("id_"), F.lit(1 << 30)) < share * float(1 << 30)).distinct()
+    # Some 2 * sample_docs ids by their shares, and never over twice that: a proven bound for the broadcast.
+    ids = F.broadcast(chosen.limit(4 * sample_docs))
+    rows = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("id_")).select("toxic", "text")
+    # What the driver gets is bounded in rows and in characters.
+    short = (F.length("text") <= 16 * SAMPLE_WORDS) & (F.size(F.split("text", " ")) <= SAMPLE_WORDS)
+    rows = rows.filter(short).limit(4 * sample_docs).toPandas()
     rows = rows.loc[np.array([bool(words(t)) for t in rows["text"]], dtype=bool)].sort_values(["toxic", "text"])
     if rows["toxic"].nunique() < 2:
         return float(rows["toxic"].max()) if len(rows) else 0.0
@@ -310,6 +314,14 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_docs: int = SAMPLE_DOCS)
 KEPT: dict[str, Texts] = {}
 
 
+def kept_texts(network: Network) -> Texts:
+    """The worker's word inputs under a network; only those of the last one are kept."""
+    if network.key not in KEPT:
+        KEPT.clear()
+        KEPT[network.key] = Texts(network)
+    return KEPT[network.key]
+
+
 def score(docs: DataFrame, network: Network | float) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row; texts that are NULL or without words score 0."""
     shared = docs.sparkSession.sparkContext.broadcast(network)
@@ -317,7 +329,7 @@ def score(docs: DataFrame, network: Network | float) -> DataFrame:
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
-        texts = None if isinstance(net, float) else KEPT.setdefault(net.key, Texts(net))
+        texts = None if isinstance(net, float) else kept_texts(net)
         for batch in batches:
             for row, part in slices(batch.column(1), 1 << 20):
                 value = np.full(len(part), net) if texts is None else text_scores(texts.network, texts, part)
