@@ -19,7 +19,7 @@ from itertools import chain, count
 import numpy as np
 
 #: Words kept before the rare ones are given up (some 300 bytes each).
-KEPT_WORDS = 300_000
+KEPT_WORDS = 400_000
 #: Characters handed to the tokenizer at once.
 PIECE = 100_000
 SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
