@@ -4,6 +4,12 @@ Fixed values: the licence texts are public and must be as published. Copyright
 lines are left out, as normalising drops them.
 """
 
+from __future__ import annotations
+
+import re
+
+from strandflow.llm.license_published import PUBLISHED
+
 MIT = """MIT License
 
 Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -42,6 +48,20 @@ Permission is granted to anyone to use this software for any purpose, including
 
 3. This notice may not be removed or altered from any source distribution."""
 
+END_OF_TERMS = "END OF TERMS AND CONDITIONS"
+
+
+def forms(text: str) -> tuple[str, ...]:
+    """The text as published and with each paragraph on one line, both with and without what follows its terms.
+
+    Lines that begin with "copyright" are left out of the canonical form, and
+    which ones do depends on the line breaks.
+    """
+    head, _, rest = text.partition(END_OF_TERMS)
+    parts = (text, head + END_OF_TERMS) if rest else (text,)
+    return tuple(dict.fromkeys(x for t in parts for x in (t, re.sub(r"(?<!\n)\n[ \t]*(?=\S)", " ", t))))
+
+
 #: (licence, text): the text as published, and without its title line.
 FULL = (
     ("MIT", MIT),
@@ -52,24 +72,54 @@ FULL = (
     ("BSD-3-Clause", "\n\n".join((BSD_HEAD, BSD_NAMES, BSD_TAIL))),
     ("0BSD", ZERO_BSD),
     ("Zlib", ZLIB),
+    *((name, form) for name, text in PUBLISHED for form in forms(text)),
+)
+
+#: The Creative Commons licences: their elements, and these in words.
+ELEMENTS = (
+    ("BY", "Attribution"),
+    ("BY-SA", "Attribution-ShareAlike"),
+    ("BY-NC", "Attribution-NonCommercial"),
+    ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+    ("BY-ND", "Attribution-NoDerivatives"),
+    ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
 )
+#: Their versions, and the word that may follow each.
+VERSIONS = (("1.0", "Generic"), ("2.0", "Generic"), ("2.5", "Generic"), ("3.0", "Unported"), ("4.0", "International"))
+
+
+def commons() -> tuple[tuple[str, tuple[str, ...]], ...]:
+    """The Creative Commons licences by version, with their names in letters, in words, and both."""
+    out = []
+    for version, kind in VERSIONS:
+        for short, words in ELEMENTS:
+            stems = dict.fromkeys((f"CC {short}", f"Creative Commons {words}", f"Creative Commons {words.replace('NoDerivatives', 'NoDerivs')}"))
+            names = [f"{s} {version}{k}{e}" for s in stems for k in ("", f" {kind}") for e in ("", " License")]
+            names += [f"{n} (CC {short} {version})" for n in names if "Attribution" in n]
+            out.append((f"CC-{short}-{version}", tuple(names)))
+    return tuple(out)
+
 
 #: Licences that are named in notices, with the names they go by.
 NAMED = (
-    ("MIT", ("MIT License",)),
-    ("ISC", ("ISC License",)),
-    ("BSD-2-Clause", ("BSD 2-Clause License",)),
-    ("BSD-3-Clause", ("BSD 3-Clause License",)),
-    ("Zlib", ("zlib License",)),
-    ("Apache-2.0", ("Apache License, Version 2.0", "Apache License 2.0")),
-    ("GPL-2.0", ("GNU General Public License v2.0", "GNU General Public License, version 2")),
-    ("GPL-3.0", ("GNU General Public License v3.0", "GNU General Public License, version 3")),
-    ("LGPL-3.0", ("GNU Lesser General Public License v3.0",)),
-    ("MPL-2.0", ("Mozilla Public License 2.0", "Mozilla Public License, v. 2.0")),
-    ("CC-BY-4.0", ("Creative Commons Attribution 4.0 International License",)),
-    ("CC-BY-SA-4.0", ("Creative Commons Attribution-ShareAlike 4.0 International License",)),
+    ("MIT", ("MIT License", "MIT")),
+    ("ISC", ("ISC License", "ISC")),
+    ("0BSD", ("BSD Zero Clause License", "0BSD License", "0BSD")),
+    ("BSD-2-Clause", ("BSD 2-Clause License", "BSD 2-Clause")),
+    ("BSD-3-Clause", ("BSD 3-Clause License", "BSD 3-Clause")),
+    ("Zlib", ("zlib License", "zlib")),
+    ("Apache-2.0", ("Apache License, Version 2.0", "Apache License 2.0", "Apache License v2.0", "Apache-2.0 License", "Apache 2.0")),
+    ("GPL-2.0", ("GNU General Public License v2.0", "GNU General Public License, version 2", "GNU General Public License 2.0", "GNU GPL v2", "GNU GPLv2", "GPL v2", "GPLv2", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later")),
+    ("GPL-3.0", ("GNU General Public License v3.0", "GNU General Public License, version 3", "GNU General Public License 3.0", "GNU GPL v3", "GNU GPLv3", "GPL v3", "GPLv3", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later")),
+    ("LGPL-2.0", ("GNU Library General Public License, version 2", "GNU Library General Public License v2.0", "LGPL-2.0", "LGPL-2.0-only", "LGPL-2.0-or-later")),
+    ("LGPL-2.1", ("GNU Lesser General Public License v2.1", "GNU Lesser General Public License, version 2.1", "GNU LGPL v2.1", "LGPL v2.1", "LGPLv2.1", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later")),
+    ("LGPL-3.0", ("GNU Lesser General Public License v3.0", "GNU Lesser General Public License, version 3", "GNU LGPL v3", "LGPL v3", "LGPLv3", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later")),
+    ("MPL-2.0", ("Mozilla Public License 2.0", "Mozilla Public License, v. 2.0", "Mozilla Public License, version 2.0", "MPL 2.0")),
+    ("CC0-1.0", ("CC0 1.0 Universal", "CC0 1.0", "CC0", "CC0 License", "Creative Commons Zero v1.0 Universal", "Creative Commons CC0 1.0 Universal", "Creative Commons CC0 1.0 Universal License", "Creative Commons Zero")),
+    *commons(),
 )
-PHRASES = ("Released under the {}", "Licensed under the {}", "Distributed under the {}", "This work is licensed under the {}", "SPDX-License-Identifier: {}")
+VERBS = ("Released under", "Licensed under", "Distributed under", "Available under", "This work is licensed under")
+PHRASES = (*(f"{verb} {article}{{}}" for verb in VERBS for article in ("the ", "a ", "")), "SPDX-License-Identifier: {}")
 
 #: Spellings that licence texts may use for one another, the second standing for both.
 EQUIVALENT = (
