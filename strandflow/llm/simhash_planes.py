@@ -72,15 +72,18 @@ def simhash(hashes: np.ndarray) -> int:
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp`` of every row (``fp`` as a signed long); texts without words have 0."""
+    """``doc_id, text_, fp`` of every row (hash of the text, ``fp`` as a signed long); texts without words have ``fp`` 0."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, texts in slices(batch.column(1)):
                 fp = np.array([simhash(shingle_hashes(t)) for t in texts], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(texts)), pa.array(fp)], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(row, len(texts)), batch.column(2).slice(row, len(texts)), pa.array(fp)], names=["doc_id", "text_", "fp"]
+                )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(compute, "doc_id long, fp long")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_"))
+    return own.mapInArrow(compute, "doc_id long, text_ long, fp long")
 
 
 # --- bit-sliced comparison ---------------------------------------------------
@@ -246,6 +249,21 @@ def forest(rows: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(fps[other]), pa.array(fps[root[other]])], names=["src", "dst"])
 
 
+def labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, text_, fp`` of every row, and ``fp, part, least`` of every fingerprint.
+
+    Fingerprints that links join, directly or through others, have the same
+    ``part``. ``least`` is the first row of a fingerprint, as (nameless, doc_id,
+    text_): by id, NULL ids last, then by the hash of the text.
+    """
+    marked = written(fingerprinted(docs), "fingerprints")
+    # Copies, however many, are one row from here on.
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_")
+    prints = written(marked.groupBy("fp").agg(F.min(row).alias("least")), "prints")
+    parts = connected_components(links(prints))
+    return marked, prints.join(parts, prints["fp"] == parts["node"], "left").select("fp", F.coalesce("component", "fp").alias("part"), "least")
+
+
 def grouped(docs: DataFrame) -> DataFrame:
     """``doc_id, fp, component_id`` of every row.
 
@@ -253,13 +271,9 @@ def grouped(docs: DataFrame) -> DataFrame:
     link, also those of texts without words (NULL, empty). NULL ids belong to
     groups but name none: a group of NULL ids only has a NULL ``component_id``.
     """
-    marked = written(fingerprinted(docs), "fingerprints")
-    # Copies, however many, are one row from here on.
-    prints = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
-    parts = connected_components(links(prints))
-    labelled = prints.join(parts, prints["fp"] == parts["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("part"))
-    named = labelled.groupBy("part").agg(F.min("least").alias("component_id"))
-    by_print = labelled.join(named, "part").select(F.col("fp").alias("fp_"), "component_id")
+    marked, prints = labelled(docs)
+    named = prints.groupBy("part").agg(F.min("least.doc_id").alias("component_id"))
+    by_print = prints.join(named, "part").select(F.col("fp").alias("fp_"), "component_id")
     return marked.join(by_print, F.col("fp") == F.col("fp_")).select("doc_id", "fp", "component_id")
 
 
@@ -269,10 +283,16 @@ def components(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents, unchanged, that give their group its id; rows repeated under one id stay once.
+    """One document of every group, unchanged: that with the smallest id, NULL ids last, then the smallest hash of the text.
 
-    Rows with a NULL id cannot be told apart and stay only if their group has no id; one of them stays.
+    Documents are told apart by id and text: different texts under one id, or
+    without one, go or stay each by its own group. Rows repeated with the same
+    id and text stay once.
     """
-    key = fresh(docs, "kept_id")
-    kept = grouped(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept[key]), "left_semi").dropDuplicates(["doc_id"])
+    named, own, other = fresh(docs, "kept_id"), fresh(docs, "text_"), fresh(docs, "kept_text")
+    _, prints = labelled(docs)
+    first = prints.groupBy("part").agg(F.min("least").alias("least"))
+    kept = first.select(F.col("least.doc_id").alias(named), F.col("least.text_").alias(other))
+    rows = docs.withColumn(own, F.xxhash64("text"))
+    same = rows["doc_id"].cast("long").eqNullSafe(kept[named]) & (rows[own] == kept[other])
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", own]).drop(own)
