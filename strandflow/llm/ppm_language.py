@@ -180,6 +180,21 @@ def train(labelled: DataFrame, *, order: int = ORDER, sample_docs: int = SAMPLE_
     return ContextTree(languages, grams, counts)
 
 
+def verdicts(tree: ContextTree, texts: list[str]) -> tuple[list, list, list]:
+    """The language, its posterior and the mean bits of a byte of every text."""
+    lang, value, mean = [UNDETERMINED] * len(texts), [0.0] * len(texts), [None] * len(texts)
+    chosen = [i for i, t in enumerate(texts) if tree.languages and has_letter(t)]
+    if chosen:
+        raw = [plain(texts[i]) for i in chosen]
+        bits = tree.code_lengths(raw)
+        best = bits.argmin(axis=1)
+        least = bits.min(axis=1)
+        posterior = 1.0 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1)
+        for i, b, p, m, r in zip(chosen, best.tolist(), posterior.tolist(), least.tolist(), raw):
+            lang[i], value[i], mean[i] = tree.languages[b], p, m / max(1, len(r))
+    return lang, value, mean
+
+
 def predict(docs: DataFrame, tree: ContextTree) -> DataFrame:
     """All columns of ``docs`` but the text, then ``held_out, lang_pred, score, bits_per_byte``.
 
@@ -194,16 +209,7 @@ def predict(docs: DataFrame, tree: ContextTree) -> DataFrame:
         tree = kept_tree(shared.value)
         for batch in batches:
             for row, texts in slices(batch.column(1), SLICE):
-                lang, value, mean = [UNDETERMINED] * len(texts), [0.0] * len(texts), [None] * len(texts)
-                chosen = [i for i, t in enumerate(texts) if tree.languages and has_letter(t)]
-                if chosen:
-                    raw = [plain(texts[i]) for i in chosen]
-                    bits = tree.code_lengths(raw)
-                    best = bits.argmin(axis=1)
-                    least = bits.min(axis=1)
-                    posterior = 1.0 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1)
-                    for i, b, p, m, r in zip(chosen, best.tolist(), posterior.tolist(), least.tolist(), raw):
-                        lang[i], value[i], mean[i] = tree.languages[b], p, m / max(1, len(r))
+                lang, value, mean = verdicts(tree, texts)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(row, len(texts)), batch.column(2).slice(row, len(texts)), pa.array(lang, pa.string()), pa.array(value, pa.float64()), pa.array(mean, pa.float64())],
                     names=["doc_id", "held_out", "lang_pred", "score", "bits_per_byte"],
@@ -219,10 +225,11 @@ def identified(docs: DataFrame) -> DataFrame:
 
 
 def in_known_languages(docs: DataFrame) -> DataFrame:
-    """The documents, unchanged, whose text a learned language codes in under eight bits a byte.
+    """The documents, unchanged, that ``predict`` gives a language; all with a letter where none was learned.
 
-    Rejected are texts without letters and those that no language makes shorter.
-    The texts are judged where they lie: nothing is shuffled.
+    Texts in a script without labelled rows get the nearest learned language,
+    however many bits they take, and stay. The texts are judged where they lie:
+    nothing is shuffled.
     """
     tree = docs.sparkSession.sparkContext.broadcast(train(docs.filter(remainder("doc_id", 4) != 2)))
 
@@ -232,14 +239,11 @@ def in_known_languages(docs: DataFrame) -> DataFrame:
 
         model = kept_tree(tree.value)
         good = np.zeros(len(column), dtype=bool)
-        if not model.languages:
-            return pd.Series(good)
         for row, texts in slices(pa.array(column, pa.string()), SLICE):
-            chosen = [i for i, t in enumerate(texts) if has_letter(t)]
-            if chosen:
-                raw = [plain(texts[i]) for i in chosen]
-                size = np.array([len(r) for r in raw])
-                good[row + np.array(chosen)] = model.code_lengths(raw).min(axis=1) < 8 * size
+            if model.languages:
+                good[row : row + len(texts)] = [x != UNDETERMINED for x in verdicts(model, texts)[0]]
+            else:
+                good[row : row + len(texts)] = [has_letter(t) for t in texts]
         return pd.Series(good)
 
     mark = fresh(docs, "fits")
