@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -15,6 +16,8 @@ from strandflow.session import ensure_checkpoint_dir
 
 #: Rows of one Arrow batch are worked on in slices of about this many text bytes.
 SLICE_BYTES = 1 << 20
+#: White space, which no word of any text operator holds.
+SPACE = re.compile("[ \t-\r]")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +65,27 @@ def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, lis
             yield a, [x or "" for x in column.slice(a, b - a).to_pylist()]
 
 
+def pieces(column: pa.Array, size: int = 4 * SLICE_BYTES) -> Iterator[tuple[np.ndarray, pa.Array, bool]]:
+    """(row of each text, texts, whether their rows end here), about ``size`` bytes at a time; NULL reads as empty text.
+
+    Many short texts come together. One much longer than ``size`` comes alone, in
+    pieces cut before a white space, each but the last with False.
+    """
+    column = pc.fill_null(column, "")
+    lengths = np.asarray(pc.binary_length(column), dtype=np.int64)
+    place = np.cumsum(lengths) // size
+    cuts = np.unique(np.concatenate([[0, len(column)], np.flatnonzero(np.diff(place)) + 1, *(np.flatnonzero(lengths > 2 * size) + x for x in (0, 1))]))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        if b > a + 1 or lengths[a] <= 2 * size:
+            yield np.arange(a, b), column.slice(a, b - a), True
+            continue
+        text, start, row = column[a].as_py(), 0, np.array([a])
+        while len(text) - start > size and (cut := SPACE.search(text, start + size)):
+            yield row, pa.array([text[start : cut.start()]], column.type), False
+            start = cut.start()
+        yield row, pa.array([text[start:]], column.type), True
+
+
 def open_files(uri: str):
     """(file system, path) of a URI, for tasks that write or range-read binary files."""
     from pyarrow import fs

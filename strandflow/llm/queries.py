@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strandflow.llm import (
+    divergence_tree,
+    importance_draw,
     license_digest,
     line_windows,
     ppm_language,
     residual_packing,
     rule_ledger,
     simhash_planes,
+    suffix_tree,
     token_store,
     toxicity_gru,
     warc_zip,
@@ -62,6 +65,18 @@ def op10_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.archived(table(spark, sf_dir, "pages"))
 
 
+def op11_importance_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_draw.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.modelled(table(spark, sf_dir, "documents"))
+
+
+def op13_divergence_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_tree.audited(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ppm_language": op1_ppm_language,
     "op2_line_windows": op2_line_windows,
@@ -73,6 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_winnow": op8_winnow,
     "op9_rule_ledger": op9_rule_ledger,
     "op10_warc_zip": op10_warc_zip,
+    "op11_importance_draw": op11_importance_draw,
+    "op12_suffix_tree": op12_suffix_tree,
+    "op13_divergence_tree": op13_divergence_tree,
 }
 
 #: Token ids, learned models and archives are beyond SQL; the tests compare those queries with brute force.
@@ -82,4 +100,6 @@ ORACLE: dict[str, str] = {
     "op8_winnow": winnow.SQL,
     "op9_rule_ledger": rule_ledger.SQL,
     "op10_warc_zip": warc_zip.SQL,
+    "op11_importance_draw": importance_draw.SQL,
+    "op13_divergence_tree": divergence_tree.SQL,
 }
