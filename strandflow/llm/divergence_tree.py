@@ -35,9 +35,11 @@ ADDED = 5
 SCALE = 1_000_000_000
 TOP_TERMS = 50
 #: Terms of one tree, about.
-BLOCK = 16_384
+BLOCK = 4096
 #: Rows of counts a task holds before it adds them up and sends them on.
-HELD_ROWS = 400_000
+HELD_ROWS = 200_000
+#: Bytes of text worked on at once.
+PIECE_BYTES = 3 << 19
 #: All ASCII but letters parts terms.
 APART = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 COUNTED = "lang string, source string, term string, n long, docs long"
@@ -70,7 +72,7 @@ def counted(docs: DataFrame) -> DataFrame:
             at = pa.array(rows)
             return pa.Table.from_arrays([lang.take(at), source.take(at), names, pa.array(n), pa.array(docs)], names=NAMES)
 
-        for rows, texts, ended in pieces(batch.column(2)):
+        for rows, texts, ended in pieces(batch.column(2), PIECE_BYTES):
             words, text = terms(texts)
             coded = words.dictionary_encode()
             number, size = np.asarray(coded.indices, dtype=np.int64), max(1, len(coded.dictionary))
