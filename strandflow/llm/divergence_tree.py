@@ -168,11 +168,13 @@ def corrections(left: pa.Table, right: pa.Table) -> pa.Table:
 
     ``left`` has the block's rows, ``right`` the sources of the language with their totals.
     """
-    names = right.column("source").to_pylist()
-    kept = right.column("kept")[0].as_py() if names else 0
+    if left.num_rows == 0:
+        return pa.table({"lang": pa.array([], pa.string()), "a": pa.array([], pa.string()), "b": pa.array([], pa.string()), "value": pa.array([], pa.int64())})
+    names, kept = right.column("source").to_pylist(), right.column("kept")[0].as_py()
     totals = right.column("total").to_pylist()
     nothing = shares([0] * len(names), totals, kept)
     entries = left.column("entries").combine_chunks()
+    entries = entries.chunk(0) if isinstance(entries, pa.ChunkedArray) else entries
     flat = entries.flatten()
     number = np.asarray(pc.index_in(flat.field("source"), pa.array(names, flat.field("source").type)), dtype=np.int64)
     pair, items = np.unique(np.stack([number, np.asarray(flat.field("n"), dtype=np.int64)], axis=1), axis=0, return_inverse=True)
@@ -192,7 +194,7 @@ def corrections(left: pa.Table, right: pa.Table) -> pa.Table:
     np.fill_diagonal(value, 0)
     a, b = np.nonzero(value)
     out = pa.array(names, pa.string())
-    lang = pa.array([right.column("lang")[0].as_py()] * len(a) if names else [], pa.string())
+    lang = pa.array([right.column("lang")[0].as_py()] * len(a), pa.string())
     return pa.Table.from_arrays([lang, out.take(pa.array(a)), out.take(pa.array(b)), pa.array(value[a, b])], names=["lang", "a", "b", "value"])
 
 
