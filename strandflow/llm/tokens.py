@@ -3,8 +3,9 @@
 A byte-level vocabulary whose words start at a single space or newline encodes
 a word the same way wherever it stands, so each task encodes a word once and
 looks it up afterwards. Texts with any other white space (doubled, at an end,
-tabs) go to the tokenizer whole; long ones in pieces cut where a single space
-stands between two other characters, a place no token crosses.
+tabs), and those that spell one of the vocabulary's special tokens, go to the
+tokenizer whole; long ones in pieces cut where a single space stands between two
+other characters, a place no token crosses.
 """
 
 from __future__ import annotations
@@ -127,10 +128,12 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
+        added = spec.get("added_tokens") or []
+        #: Spellings that the tokenizer takes out of a text before anything else.
+        self.special = [t["content"] for t in added]
         newline = self.tok.encode("\n", add_special_tokens=False).ids
         self.by_word = (
             pre.get("type") == "ByteLevel"
@@ -139,6 +142,8 @@ class Encoder:
             and not spec.get("normalizer")
             and spec["model"]["type"] == "BPE"
             and len(newline) == 1
+            # They lie within a word, and take no white space beside them.
+            and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or not t["content"] or t["content"].split() != [t["content"]] for t in added)
         )
         self.newline = newline[0] if newline else -1
         # The merges alone, for runs of letters: nothing in them is left to split.
@@ -186,7 +191,9 @@ class Encoder:
                 parts[i, 0], body, space = 1, w[1:], ""
             else:
                 body, space = w, " "
-            if m := LETTERS.fullmatch(body):
+            if any(x in w for x in self.special):
+                bad[i] = True
+            elif m := LETTERS.fullmatch(body):
                 parts[i, 1] = number(space + m[1])
                 letters.append(parts[i, 1])
                 if m[2]:

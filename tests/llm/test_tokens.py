@@ -23,7 +23,6 @@ def plain():
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_path(NAME))
-    tok.encode_special_tokens = True
     return lambda t: tok.encode(t or "", add_special_tokens=False).ids
 
 
@@ -41,12 +40,24 @@ def test_encoder_equals_the_tokenizer(plain, kept):
         assert [p.tolist() for p in parts] == [plain(t) for t in group]
 
 
+def test_special_spellings_are_those_of_the_tokenizer(plain):
+    parts = ["<|endoftext|>", "<|endoftext|", "|>", " ", "  ", "\n", "\t", "a", "Word", "don't", "9", "é", "<|", ".", "\x1c"]
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(parts, rng.integers(1, 14))) for _ in range(6000)]
+    texts += ["ab cd " * 30_000 + mark + " ab cd" * 30_000 for mark in ("<|endoftext|>", " <|endoftext|> ", "\n<|endoftext|>")]
+    enc = Encoder(tokenizer_path(NAME), 500)
+    for a in range(0, len(texts), 700):
+        ids, counts = enc.encode(texts[a : a + 700])
+        got = np.split(ids, np.cumsum(counts)[:-1])
+        assert [p.tolist() for p in got] == [plain(t) for t in texts[a : a + 700]]
+    assert any(50256 in plain(t) for t in texts)
+
+
 def test_other_vocabularies_are_not_cut_at_words():
     from tokenizers import Tokenizer
 
     path = tokenizer_path("word_bpe_49k.json")
     want = Tokenizer.from_file(path)
-    want.encode_special_tokens = True
     ids, counts = Encoder(path).encode(ODD[:8])
     assert [p.tolist() for p in np.split(ids, np.cumsum(counts)[:-1])] == [want.encode(t, add_special_tokens=False).ids for t in ODD[:8]]
 
