@@ -11,8 +11,10 @@ down to eight bits for a byte never seen. The language with the shortest code
 is predicted, and the score is its posterior with all languages equally likely.
 
 Training counts are gathered by Spark from a hash sample of ``SAMPLE_DOCS``
-labelled documents a language (a bound of the classifier; whole texts), and the
-tree is cut to its ``MAX_NODES`` most frequent nodes, so its broadcast is a few MB.
+labelled documents a language (a bound of the classifier; whole texts). Every
+label is learned, and each keeps its own ``LANGUAGE_NODES`` most frequent nodes,
+whatever the others have. Languages share a tree in turns of ``TURN``, so that a
+worker's tables hold one turn however many languages there are.
 """
 
 from __future__ import annotations
@@ -24,19 +26,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import fresh, remainder, slices
+from strandflow.llm.common import fresh, remainder, slices, written
 
 #: Bytes of context.
 ORDER = 3
 #: Labelled documents a language is learned from, at most and about.
 SAMPLE_DOCS = 400
-#: Nodes of the tree over all languages.
-MAX_NODES = 300_000
-#: Languages learned; those with most labelled documents.
-MAX_LANGUAGES = 64
+#: Nodes each language keeps.
+LANGUAGE_NODES = 75_000
+#: Languages of one tree; the next ones are in trees of their own.
+TURN = 8
 #: Bytes scored at once.
 SLICE = 1 << 20
 UNDETERMINED = "und"
@@ -65,10 +67,28 @@ class ContextTree:
     grams: list[np.ndarray]
     counts: list[np.ndarray]
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
+    #: The trees of further languages.
+    more: list["ContextTree"] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         self.tables = None
 
+    @property
+    def every_language(self) -> list[str]:
+        return [x for tree in (self, *self.more) for x in tree.languages]
+
+    def every_code_length(self, texts: list[bytes]) -> np.ndarray:
+        """Bits of every text in every language, one tree's tables in memory at a time."""
+        found = []
+        for tree in (self, *self.more):
+            found.append(tree.code_lengths(texts))
+            if self.more:
+                tree.thaw()
+        return np.concatenate(found, axis=1)
+
+    def thaw(self) -> None:
+        self.cost = self.escape = self.child = self.tables = None
+
     @property
     def order(self) -> int:
         return len(self.grams) - 1
@@ -134,10 +154,15 @@ def kept_tree(tree: ContextTree) -> ContextTree:
     return TREES[tree.key]
 
 
-def train(labelled: DataFrame, *, order: int = ORDER, sample_docs: int = SAMPLE_DOCS, max_nodes: int = MAX_NODES) -> ContextTree:
-    """Learn from ``doc_id, text, lang``; rows with a NULL in text or lang teach nothing."""
+def train(
+    labelled: DataFrame, *, order: int = ORDER, sample_docs: int = SAMPLE_DOCS, language_nodes: int = LANGUAGE_NODES, max_nodes: int | None = None, turn: int = TURN
+) -> ContextTree:
+    """Learn from ``doc_id, text, lang``; rows with a NULL in text or lang teach nothing.
+
+    ``max_nodes`` cuts each tree further, to its most frequent nodes over all its languages.
+    """
     rows = labelled.select("doc_id", "text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL")
-    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    found = rows.groupBy("lang").count().orderBy("lang").collect()  # one row a label
     languages = sorted(r["lang"] for r in found)
     if not languages:
         return ContextTree([], [], [])
@@ -165,33 +190,48 @@ def train(labelled: DataFrame, *, order: int = ORDER, sample_docs: int = SAMPLE_
                         )
 
     counted = sample.mapInArrow(count, "lang string, n int, gram long, times long")
-    by = [F.sum(F.when(F.col("lang") == x, F.col("times")).otherwise(0)).alias(f"l{i}") for i, x in enumerate(languages)]
-    nodes = counted.groupBy("n", "gram").agg(F.sum("times").alias("all"), *by)
-    # A node is never more frequent than its prefix or suffix, so what is kept is closed under both.
-    kept = nodes.orderBy(F.desc("all"), "n", "gram").limit(max_nodes).drop("all").toArrow()
-    level, gram = np.asarray(kept.column("n")), np.asarray(kept.column("gram"))
-    table = np.stack([np.asarray(kept.column(f"l{i}"), dtype=np.float64) for i in range(len(languages))], axis=1)
-    grams, counts = [], []
-    for n in range(order + 1):
-        own = np.flatnonzero(level == n)
-        own = own[np.argsort(gram[own])]
-        grams.append(gram[own])
-        counts.append(table[own])
-    return ContextTree(languages, grams, counts)
+    place = F.create_map(*(x for i, name in enumerate(languages) for x in (F.lit(name), F.lit(i))))[F.col("lang")]
+    nodes = written(counted.groupBy(place.alias("place"), "n", "gram").agg(F.sum("times").alias("times")), "grams")
+    # A node is never more frequent than its prefix or suffix, so what a language keeps is closed under both.
+    most = F.row_number().over(Window.partitionBy("place").orderBy(F.desc("times"), "n", "gram"))
+    own = nodes.withColumn("most", most).filter(F.col("most") <= language_nodes)
+    of_turn = F.floor(F.col("place") / turn).cast("int").alias("turn")
+    kept = own.select(of_turn, "n", "gram").distinct()
+    width = min(turn, len(languages))
+    by = [F.sum(F.when(F.col("place") % turn == i, F.col("times")).otherwise(0)).alias(f"l{i}") for i in range(width)]
+    counts_of = nodes.select(of_turn, "*").join(kept, ["turn", "n", "gram"], "left_semi").groupBy("turn", "n", "gram").agg(F.sum("times").alias("all"), *by)
+    trees = []
+    for k in range(0, len(languages), turn):
+        wanted = counts_of.filter(F.col("turn") == k // turn)
+        if max_nodes is not None:
+            wanted = wanted.orderBy(F.desc("all"), "n", "gram").limit(max_nodes)
+        got, names = wanted.toArrow(), languages[k : k + turn]  # at most ``language_nodes`` a language
+        level, gram = np.asarray(got.column("n")), np.asarray(got.column("gram"))
+        table = np.stack([np.asarray(got.column(f"l{i}"), dtype=np.float64) for i in range(len(names))], axis=1)
+        grams, counts = [], []
+        for n in range(order + 1):
+            at = np.flatnonzero(level == n)
+            at = at[np.argsort(gram[at])]
+            grams.append(gram[at])
+            counts.append(table[at])
+        trees.append(ContextTree(names, grams, counts))
+    trees[0].more = trees[1:]
+    return trees[0]
 
 
 def verdicts(tree: ContextTree, texts: list[str]) -> tuple[list, list, list]:
     """The language, its posterior and the mean bits of a byte of every text."""
+    names = tree.every_language
     lang, value, mean = [UNDETERMINED] * len(texts), [0.0] * len(texts), [None] * len(texts)
     chosen = [i for i, t in enumerate(texts) if tree.languages and has_letter(t)]
     if chosen:
         raw = [plain(texts[i]) for i in chosen]
-        bits = tree.code_lengths(raw)
+        bits = tree.every_code_length(raw)
         best = bits.argmin(axis=1)
         least = bits.min(axis=1)
         posterior = 1.0 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1)
         for i, b, p, m, r in zip(chosen, best.tolist(), posterior.tolist(), least.tolist(), raw):
-            lang[i], value[i], mean[i] = tree.languages[b], p, m / max(1, len(r))
+            lang[i], value[i], mean[i] = names[b], p, m / max(1, len(r))
     return lang, value, mean
 
 

@@ -87,6 +87,17 @@ def test_the_tree_stays_closed_when_cut(spark):
     assert sum(map(len, tree.grams)) == 500
 
 
+def test_every_label_is_learned(spark):
+    # 70 languages, each with words of its own; the last has one labelled text of a few words.
+    words = [[f"{a}{b}{c}{a}" for a in x for b in "aeiou" for c in x] for x in ("".join(np.random.default_rng(i).choice(list("bcdfghjklmnpqrstvwxz"), 4, replace=False)) for i in range(70))]
+    text = lambda i, n: " ".join(np.random.default_rng([i, n]).choice(words[i], 6 if i == 69 else 60))
+    train = [(100 * i + n, text(i, n), f"l{i:02d}") for i in range(70) for n in range(1 if i == 69 else 3)]
+    tree = P.train(spark.createDataFrame(train, "doc_id long, text string, lang string"), language_nodes=3000)
+    assert tree.every_language == [f"l{i:02d}" for i in range(70)] and len(tree.languages) == P.TURN
+    got, _, _ = P.verdicts(tree, [text(i, 9) for i in range(70)])
+    assert got == tree.every_language
+
+
 # --- toxicity -----------------------------------------------------------------
 
 
