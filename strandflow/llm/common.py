@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
+import sys
 import uuid
 from collections.abc import Iterator
 
@@ -86,6 +89,14 @@ def pieces(column: pa.Array, size: int = 4 * SLICE_BYTES) -> Iterator[tuple[np.n
         yield row, pa.array([text[start:]], column.type), True
 
 
+def give_back() -> None:
+    """Hand memory that is free again back to the system, so that an idle worker does not hold a task's peak."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform.startswith("linux"):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def open_files(uri: str):
     """(file system, path) of a URI, for tasks that write or range-read binary files."""
     from pyarrow import fs

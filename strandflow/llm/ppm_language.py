@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandflow.llm.common import fresh, remainder, slices, written
+from strandflow.llm.common import fresh, give_back, remainder, slices, written
 
 #: Bytes of context.
 ORDER = 3
@@ -273,18 +273,18 @@ def in_known_languages(docs: DataFrame) -> DataFrame:
     """
     tree = docs.sparkSession.sparkContext.broadcast(train(docs.filter(remainder("doc_id", 4) != 2)))
 
-    @F.pandas_udf("boolean")
-    def fits(column):
-        import pandas as pd
-
+    @F.arrow_udf("boolean")
+    def fits(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = kept_tree(tree.value)
-        good = np.zeros(len(column), dtype=bool)
-        for row, texts in slices(pa.array(column, pa.string()), SLICE):
-            if model.languages:
-                good[row : row + len(texts)] = [x != UNDETERMINED for x in verdicts(model, texts)[0]]
-            else:
-                good[row : row + len(texts)] = [has_letter(t) for t in texts]
-        return pd.Series(good)
+        for column in columns:
+            good = np.zeros(len(column), dtype=bool)
+            for row, texts in slices(column, SLICE):
+                if model.languages:
+                    good[row : row + len(texts)] = [x != UNDETERMINED for x in verdicts(model, texts)[0]]
+                else:
+                    good[row : row + len(texts)] = [has_letter(t) for t in texts]
+            yield pa.array(good)
+        give_back()
 
     mark = fresh(docs, "fits")
     return docs.withColumn(mark, fits("text")).filter(mark).drop(mark)
