@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,14 +15,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from strandflow.functions.arrays import gaussian_blur, gaussian_radius
 from strandflow.operators.tiles import TILE, only_fields, as_array, map_rows, tile_schema
+from strandflow.session import cut_lineage
 
 # Acceptance score, smoothing, and the carbon film's scale and level.
 MATCH_THRESHOLD = 0.85
 SMOOTH_SIGMA = 3.0
 CARBON_SIGMA, CARBON_LEVEL = 25.0, 0.42
 
-# Bytes of screenshots sent to every task at once; more are sent in turns.
-BROADCAST_BYTES = 64 << 20
+# Bytes of rasters in one block: a task holds one block of each side.
+BLOCK_BYTES = 16 << 20
 
 
 def reduce_tiles(tiles: DataFrame, factor: int, *, tile: int = TILE, carry: Sequence[str] = ()) -> DataFrame:
@@ -31,7 +32,7 @@ def reduce_tiles(tiles: DataFrame, factor: int, *, tile: int = TILE, carry: Sequ
     The tile side must be a multiple of ``factor``; a ragged edge is trimmed.
     """
     if factor < 1:
-        raise ValueError("factor must be >= 1")
+        raise ValueError(f"cannot average blocks of {factor} pixels")
     if tile % factor:
         raise ValueError("the tile side must be a multiple of the factor")
     schema = tile_schema([tiles.schema[c] for c in carry], tiles.schema["image_id"].dataType)
@@ -128,61 +129,83 @@ def prepare_shots(rows: DataFrame, height: int, width: int, *, smooth: float = S
     return map_rows(rows, prepare, rows.schema)
 
 
+def _block_scores(x: np.ndarray, shots: np.ndarray, mask: np.ndarray | None) -> np.ndarray:
+    """Correlation of every row of ``x`` with every row of ``shots`` over the row's mask, as matrix products.
+
+    With a mask, a screenshot has another mean and deviation for every image:
+    both come from masked sums, so no pair is looked at by itself. A row whose
+    mask is empty scores 0.
+    """
+    m = np.ones(x.shape) if mask is None else mask.astype(float)
+    n = np.maximum(m.sum(axis=1), 1.0)[:, None]
+    x = (x - (x * m).sum(axis=1, keepdims=True) / n) * m
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True) / n) + 1e-9
+    # Shifting a screenshot by its mean leaves correlations as they are and the sums small.
+    y = shots - shots.mean(axis=1, keepdims=True)
+    mean = m @ y.T / n
+    deviation = np.sqrt(np.maximum(m @ (y * y).T / n - mean * mean, 0.0)) + 1e-9
+    return (x @ y.T - mean * x.sum(axis=1, keepdims=True)) / deviation / n
+
+
 def _masked_scores(x: np.ndarray, shots: np.ndarray, mask: np.ndarray | None) -> np.ndarray:
     """Correlation of one image with every row of ``shots`` over the mask."""
-    if mask is not None:
-        x, shots = x[mask], shots[:, mask]
-    if x.size == 0:
-        return np.zeros(len(shots))
-    zx = (x - x.mean()) / (x.std() + 1e-9)
-    mean, sd = shots.mean(axis=1), shots.std(axis=1) + 1e-9
-    return (shots @ zx - mean * zx.sum()) / sd / x.size
+    return _block_scores(x[None, :], shots, None if mask is None else mask[None, :])[0]
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """A list column of equal lengths as a matrix."""
+    values = pa.concat_arrays([c.flatten() for c in column.chunks])
+    return np.asarray(values.cast(pa.float64())).reshape(len(column), -1)
 
 
 def top_two(
-    images: DataFrame, shots: DataFrame, *, mask: str | None = None, broadcast_bytes: int = BROADCAST_BYTES
+    images: DataFrame, shots: DataFrame, *, mask: str | None = None, block_bytes: int = BLOCK_BYTES, broadcast_bytes: int | None = None
 ) -> DataFrame:
     """Best and runner-up screenshot of every image; ties go to the larger id.
 
     ``images``: image_id, px[, mask]; ``shots``: shot_id, px of the same size.
-    Every screenshot must be scored, so they go to the tasks in bounded turns:
-    their total size is measured, one turn's share is broadcast, and each task
-    keeps two candidates per image and turn. Scores are never materialised.
+    A matrix product in blocks: both sides are dealt to blocks of about
+    ``block_bytes``, every block of images meets every block of screenshots by
+    their numbers, and a meeting leaves two candidates an image. Nothing is
+    collected or broadcast and no score is kept beyond its meeting. Where no
+    screenshot is given, no image has a row. (``broadcast_bytes`` is the earlier
+    name of ``block_bytes``.)
     """
-    spark = images.sparkSession
-    measured = shots.agg(F.sum(F.size("px").cast("long") * 8)).first()[0] or 0
-    turns = max(1, math.ceil(measured / broadcast_bytes))
-    id_image, id_shot = images.schema["image_id"].dataType, shots.schema["shot_id"].dataType
-    schema = T.StructType(
-        [T.StructField("image_id", id_image), T.StructField("shot_id", id_shot), T.StructField("score", T.DoubleType())]
-    )
-    cols = ["image_id", "px", *([mask] if mask else [])]
-    found: DataFrame | None = None
-    for turn in range(turns):
-        part = shots.filter(F.pmod(F.xxhash64("shot_id"), F.lit(turns)) == turn).select("shot_id", "px").toPandas()
-        if part.empty:
-            continue
-        part = part.sort_values("shot_id", ascending=False)
-        held = spark.sparkContext.broadcast(
-            (part["shot_id"].tolist(), np.vstack([np.asarray(p, dtype=float) for p in part["px"]]))
+    limit = broadcast_bytes or block_bytes
+    size = lambda df: df.agg(F.sum(F.size("px").cast("long") * 8)).first()[0] or 0
+    n_images, n_shots = (max(1, math.ceil(size(df) / limit)) for df in (images, shots))
+
+    def dealt(df: DataFrame, name: str, own: str, parts: int, other: str, other_parts: int) -> DataFrame:
+        """Each row in its block, once for every block of the other side."""
+        return df.select(
+            name,
+            F.col("px").cast("array<double>").alias("px"),
+            *([F.col(mask).alias("mask")] if mask and name == "image_id" else []),
+            F.pmod(F.xxhash64(name), F.lit(parts)).cast("int").alias(own),
+            F.explode(F.sequence(F.lit(0), F.lit(other_parts - 1))).alias(other),
         )
 
-        def score(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            ids, matrix = held.value
-            for pdf in batches:
-                rows: list[tuple] = []
-                for row in pdf.itertuples(index=False):
-                    keep = np.asarray(row[2], dtype=bool) if mask else None
-                    s = _masked_scores(np.asarray(row[1], dtype=float), matrix, keep)
-                    # Ids descend, and a stable sort keeps the larger id first on ties.
-                    for k in np.argsort(-s, kind="stable")[:2]:
-                        rows.append((row[0], ids[k], float(s[k])))
-                yield pd.DataFrame(rows, columns=["image_id", "shot_id", "score"])
-
-        best = images.select(*cols).mapInPandas(score, schema)
-        found = best if found is None else found.unionByName(best)
-    if found is None:
-        found = spark.createDataFrame([], schema)
+    left = dealt(images, "image_id", "of_images", n_images, "of_shots", n_shots)
+    right = dealt(shots, "shot_id", "of_shots", n_shots, "of_images", n_images)
+    schema = T.StructType([images.schema["image_id"], shots.schema["shot_id"], T.StructField("score", T.DoubleType())])
+    arrow = to_arrow_schema(schema)
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not len(a) or not len(b):
+            return arrow.empty_table()
+        keep = None
+        if mask:
+            flat = pa.concat_arrays([c.flatten() for c in a.column("mask").chunks])
+            keep = np.asarray(flat.fill_null(False)).astype(bool).reshape(len(a), -1)
+        b = b.take(pc.sort_indices(b, [("shot_id", "descending")]))
+        scores = _block_scores(_matrix(a.column("px")), _matrix(b.column("px")), keep)
+        # Ids descend, and a stable sort keeps the larger id first on ties.
+        best = np.argsort(-scores, axis=1, kind="stable")[:, :2]
+        row = np.repeat(np.arange(len(a)), best.shape[1])
+        columns = [a.column("image_id").take(pa.array(row)), b.column("shot_id").take(pa.array(best.ravel())), pa.array(scores[row, best.ravel()])]
+        return pa.Table.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], schema=arrow)
+
+    found = left.groupBy("of_images", "of_shots").cogroup(right.groupBy("of_images", "of_shots")).applyInArrow(meet, schema)
     w = Window.partitionBy("image_id").orderBy(F.desc("score"), F.desc("shot_id"))
     ranked = found.withColumn("rank", F.row_number().over(w)).filter("rank <= 2")
     return ranked.groupBy("image_id").agg(
@@ -198,14 +221,14 @@ def match_micrographs(
 ) -> DataFrame:
     """Match table of micrograph tiles (with pixel_size_a, path) against screenshot tiles."""
     reduced = gather_rows(reduce_tiles(micrographs, factor, tile=tile))
-    ready = prepare_micrographs(reduced)
-    shot_rows = gather_rows(screenshots)
+    ready = cut_lineage(prepare_micrographs(reduced))
+    shot_rows = cut_lineage(gather_rows(screenshots))
     found: DataFrame | None = None
     # Cameras produce a handful of image sizes; each is matched on its own grid.
     for size in micrographs.select("height", "width").distinct().collect():
         h, w = size["height"] // factor, size["width"] // factor
         same = ready.filter((F.col("height") == h) & (F.col("width") == w))
-        shots = prepare_shots(shot_rows, h, w).withColumnRenamed("image_id", "shot_id")
+        shots = cut_lineage(prepare_shots(shot_rows, h, w).withColumnRenamed("image_id", "shot_id"))
         part = top_two(same, shots, mask="ice")
         found = part if found is None else found.unionByName(part)
     if found is None:

@@ -1237,6 +1237,30 @@ def correlation_top2(spark: SparkSession, d: str) -> DataFrame:
     return rounded(best.withColumn("matched", F.col("best_score") >= micrographs.MATCH_THRESHOLD), 5)
 
 
+MASKED_SQL = CORR_SQL[: CORR_SQL.index("  cz AS")] + """
+  ice AS (SELECT vec_id AS image_id, k FROM cn WHERE v >= 0.42),
+  met AS (SELECT c.vec_id AS image_id, s.vec_id AS shot_id, c.v AS a, s.v AS b
+           FROM cn c JOIN ice i ON i.image_id = c.vec_id AND i.k = c.k JOIN sn s ON s.k = c.k),
+  m AS (SELECT image_id, shot_id, avg(a) AS ma, avg(b) AS mb, stddev_pop(a) + 1e-9::DOUBLE AS sa, stddev_pop(b) + 1e-9::DOUBLE AS sb FROM met GROUP BY ALL),
+  score AS (SELECT image_id, shot_id, avg((a - ma) / sa * (b - mb) / sb) AS score FROM met JOIN m USING (image_id, shot_id) GROUP BY ALL),
+  top AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, shot_id DESC) AS r FROM score)"""
+
+
+@query(
+    "correlation_masked_top2",
+    f"""WITH {MASKED_SQL} SELECT image_id, max(shot_id) FILTER (r = 1) AS best_id, {r6("max(score) FILTER (r = 1)", "best_score", 5)},
+    max(shot_id) FILTER (r = 2) AS runner_up_id, {r6("max(score) FILTER (r = 2)", "runner_up_score", 5)}
+    FROM top WHERE r <= 2 GROUP BY image_id""",
+)
+def correlation_masked_top2(spark: SparkSession, d: str) -> DataFrame:
+    """The same over the bright pixels of each raster only, as carbon film is left out."""
+    c = S.chips(spark, d).withColumn("px", F.col("px").cast("array<double>"))
+    norm = rasters.normalize_percentile(F.col("px"), eps=1e-9)
+    coarse = c.withColumn("px", F.transform("px", lambda v: F.round(v * 10) / 10))
+    images = c.select(F.col("vec_id").alias("image_id"), norm.alias("px")).withColumn("ice", F.transform("px", lambda v: v >= micrographs.CARBON_LEVEL))
+    return rounded(micrographs.top_two(images, coarse.select(F.col("vec_id").alias("shot_id"), norm.alias("px")), mask="ice"), 5)
+
+
 @query(
     "dice_bce",
     f"""WITH {V4_SQL}, z AS (SELECT a.label, a.v * 10 AS x, CAST(b.v > 0 AS INTEGER) AS t, CAST(abs(b.v) <= 0.2 AS INTEGER) AS w

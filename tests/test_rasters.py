@@ -193,6 +193,29 @@ def test_top_two_in_turns(spark):
         assert whole[i]["best_score"] == pytest.approx(corr[i].max(), abs=1e-6)
 
 
+def test_blocks_score_as_pairs_do(spark):
+    a, b = RNG.uniform(size=(23, 40)), RNG.uniform(size=(31, 40))
+    b[3], b[4] = 0.5, b[5]
+    keep = RNG.uniform(size=a.shape) < 0.5
+    keep[2] = False
+    want = np.zeros((23, 31))
+    for i in range(23):
+        for j in range(31):
+            x, y = a[i][keep[i]], b[j][keep[i]]
+            if len(x):
+                want[i, j] = ((x - x.mean()) / (x.std() + 1e-9) * (y - y.mean()) / (y.std() + 1e-9)).mean()
+    assert np.allclose(M._block_scores(a, b, keep), want, atol=1e-7)
+    images = spark.createDataFrame([(f"i{i}", v.tolist(), k.tolist()) for i, (v, k) in enumerate(zip(a, keep))], "image_id string, px array<double>, m array<boolean>")
+    shots = spark.createDataFrame([(f"s{j:02d}", v.tolist()) for j, v in enumerate(b)], "shot_id string, px array<double>")
+    for block in (400, 3000, 1 << 20):
+        for r in M.top_two(images, shots, mask="m", block_bytes=block).collect():
+            i = int(r["image_id"][1:])
+            order = sorted(range(31), key=lambda j: (-round(want[i, j], 9), -j))
+            assert [r["best_id"], r["runner_up_id"]] == [f"s{j:02d}" for j in order[:2]]
+            assert r["best_score"] == pytest.approx(want[i, order[0]], abs=1e-6)
+    assert M.top_two(images, shots.limit(0), mask="m").count() == 0 == M.top_two(images.limit(0), shots).count()
+
+
 def test_carbon_needs_masking():
     a, b = M._normalized(streaks(1)), M._normalized(streaks(2))
     ice = M._blurred(M._normalized(a), M.CARBON_SIGMA) >= M.CARBON_LEVEL
