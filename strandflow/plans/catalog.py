@@ -612,22 +612,16 @@ QUALITY = "(c - cos(radians(60))) / (1 - cos(radians(60)))"
 JUNCTION_SQL = f"""WITH {JUNCTION_CTE}
     SELECT image_id, nx, ny, a, b, {r6(QUALITY, "quality")} FROM q WHERE c >= cos(radians(60))"""
 
-# Up to eight ends every set of disjoint pairs is listed and the best kept; above, pairs are taken best first.
+# Every set of disjoint pairs is listed and the best kept.
 MATCHING_CTE = f"""{JUNCTION_CTE},
-    sized AS (SELECT q.*, {QUALITY} AS w, degree, row_number() OVER (PARTITION BY image_id, nx, ny ORDER BY {QUALITY} DESC, a, b) AS k
-              FROM q JOIN (SELECT image_id, nx, ny, count(*) AS degree FROM e GROUP BY ALL) USING (image_id, nx, ny)
-              WHERE c >= cos(radians(60))),
-    sets AS (SELECT DISTINCT image_id, nx, ny, 0::BIGINT AS k, []::BIGINT[] AS used, 0::DOUBLE AS total FROM sized WHERE degree <= 8
+    sized AS (SELECT q.*, {QUALITY} AS w, row_number() OVER (PARTITION BY image_id, nx, ny ORDER BY {QUALITY} DESC, a, b) AS k
+              FROM q WHERE c >= cos(radians(60))),
+    sets AS (SELECT DISTINCT image_id, nx, ny, 0::BIGINT AS k, []::BIGINT[] AS used, 0::DOUBLE AS total FROM sized
              UNION ALL
              SELECT m.image_id, m.nx, m.ny, s.k, list_concat(m.used, [s.a, s.b]), m.total + s.w
              FROM sets m JOIN sized s ON s.image_id = m.image_id AND s.nx = m.nx AND s.ny = m.ny AND s.k > m.k
              WHERE NOT list_has_any(m.used, [s.a, s.b])),
-    taken AS (SELECT DISTINCT image_id, nx, ny, 0::BIGINT AS k, []::BIGINT[] AS used FROM sized WHERE degree > 8
-              UNION ALL
-              SELECT m.image_id, m.nx, m.ny, s.k, CASE WHEN list_has_any(m.used, [s.a, s.b]) THEN m.used ELSE list_concat(m.used, [s.a, s.b]) END
-              FROM taken m JOIN sized s ON s.image_id = m.image_id AND s.nx = m.nx AND s.ny = m.ny AND s.k = m.k + 1),
-    chosen AS (SELECT arg_max(used, total) AS used FROM sets GROUP BY image_id, nx, ny
-               UNION ALL SELECT arg_max(used, k) FROM taken GROUP BY image_id, nx, ny),
+    chosen AS (SELECT arg_max(used, total) AS used FROM sets GROUP BY image_id, nx, ny),
     pairs AS (SELECT used[i] AS a, used[i + 1] AS b FROM (SELECT used, unnest(range(1, len(used), 2)) AS i FROM chosen))"""
 
 # Chains are walked from every free end and kept from the lower one; what no walk reaches is a loop.
@@ -643,12 +637,12 @@ CHAINS_SQL = f"""WITH RECURSIVE {MATCHING_CTE},
     SELECT entry AS chain, pos, e // 2 AS piece, e % 2 = 1 AS flipped FROM (SELECT * FROM open_chains UNION ALL SELECT * FROM loops)"""
 
 
-def _node_ends(spark: SparkSession, d: str) -> DataFrame:
+def _node_ends(spark: SparkSession, d: str, side: float = NODE_SIDE) -> DataFrame:
     ends = curves.endpoints(S.curves_field(spark, d), curves.Layout())
     return ends.select(
         "image_id",
-        F.floor(F.col("x") / NODE_SIDE).cast("long").alias("nx"),
-        F.floor(F.col("y") / NODE_SIDE).cast("long").alias("ny"),
+        F.floor(F.col("x") / side).cast("long").alias("nx"),
+        F.floor(F.col("y") / side).cast("long").alias("ny"),
         (F.col("filament_id") * 2 + F.when(F.col("at_start"), 0).otherwise(1)).alias("end"),
         (-F.col("dx")).alias("dx"),
         (-F.col("dy")).alias("dy"),
@@ -665,6 +659,23 @@ def junction_matching(spark: SparkSession, d: str) -> DataFrame:
     return junctions.pair_ends(_node_ends(spark, d), ["image_id", "nx", "ny"])
 
 
+WIDE_SIDE = 1.0
+
+
+@query(
+    "junction_crowded",
+    f"""WITH RECURSIVE {MATCHING_CTE.replace(f"/ {NODE_SIDE})", f"/ {WIDE_SIDE})")}, d AS (SELECT image_id, nx, ny, count(*) AS n_ends FROM e GROUP BY ALL)
+    SELECT image_id, nx, ny, n_ends, {r6("coalesce(max(total), 0)", "quality")} FROM d LEFT JOIN sets USING (image_id, nx, ny) GROUP BY ALL""",
+)
+def junction_crowded(spark: SparkSession, d: str) -> DataFrame:
+    """The best total quality of every node where nodes are wide, with ten ends and more."""
+    node = ["image_id", "nx", "ny"]
+    ends = session.cut_lineage(_node_ends(spark, d, WIDE_SIDE))
+    best = junctions.pair_ends(ends, node).join(junctions.admissible_pairs(ends, node), ["a", "b"]).groupBy(*node).agg(F.sum("quality").alias("quality"))
+    n = ends.groupBy(*node).agg(F.count(F.lit(1)).alias("n_ends"))
+    return rounded(n.join(best, node, "left").select(*node, "n_ends", F.coalesce("quality", F.lit(0.0)).alias("quality")))
+
+
 @query("curve_chains", CHAINS_SQL)
 def curve_chains(spark: SparkSession, d: str) -> DataFrame:
     """Curves strung together through paired junction ends, in order and orientation."""

@@ -3,8 +3,10 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from strandflow.functions.blossom import heaviest_pairs
 from strandflow.operators.graph import chain_pieces, connected_components, greedy_pairs
 from strandflow.operators.junctions import admissible_pairs, pair_ends
 from strandflow.operators.matching import _assign, match_curves
@@ -88,6 +90,45 @@ def test_pairing_is_the_best(spark):
         assert abs(found.get(node, 0.0) - best) < 1e-9
 
 
+@pytest.mark.parametrize("top", [1, 5, 10**12])
+def test_blossoms_against_all_pairings(top):
+    rng = np.random.default_rng(top)
+
+    def best(left: frozenset, w: dict) -> int:
+        if not left:
+            return 0
+        a = min(left)
+        rest = left - {a}
+        return max([best(rest, w), *[w[a, b] + best(rest - {b}, w) for b in rest if (a, b) in w]])
+
+    for _ in range(150):
+        n = int(rng.integers(2, 10))
+        w = {(a, b): int(rng.integers(1, top + 1)) for a, b in itertools.combinations(range(n), 2) if rng.random() < 0.6}
+        got = heaviest_pairs([(a, b, x) for (a, b), x in w.items()])
+        assert len({v for p in got for v in p}) == 2 * len(got)
+        assert sum(w[p] for p in got) == best(frozenset(range(n)), w)
+
+
+def test_node_of_many_ends_is_paired_best(spark):
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for node, k in enumerate((9, 12, 16)):
+        angle = rng.uniform(0, 2 * np.pi, k)
+        rows += [(node, 100 * node + 2 * i, float(np.cos(a)), float(np.sin(a))) for i, a in enumerate(angle)]
+        good = {(i, j): (-np.cos(angle[i] - angle[j]) - 0.5) / 0.5 for i in range(k) for j in range(i + 1, k) if -np.cos(angle[i] - angle[j]) > 0.5}
+        table = {0: 0.0}
+        for mask in range(1, 1 << k):
+            low = (mask & -mask).bit_length() - 1
+            rest = mask ^ (1 << low)
+            table[mask] = max([table[rest], *[good[low, j] + table[rest ^ (1 << j)] for j in range(low + 1, k) if rest >> j & 1 and (low, j) in good]])
+        want[node] = table[(1 << k) - 1]
+    df = spark.createDataFrame(rows, "node long, end long, dx double, dy double")
+    got = pair_ends(df, ["node"]).join(admissible_pairs(df, ["node"]), ["a", "b"]).groupBy("node").agg(F.sum("quality").alias("q")).collect()
+    assert {r["node"]: pytest.approx(r["q"], abs=1e-9) for r in got} == want
+    greedy = pair_ends(df, ["node"], greedy_above=8).join(admissible_pairs(df, ["node"]), ["a", "b"]).agg(F.sum("quality")).first()[0]
+    assert greedy <= sum(want.values()) + 1e-9
+
+
 def test_crowded_node_is_greedy(spark):
     angle = [0.0, np.pi, 0.1, np.pi + 0.3, 1.0, 2.0, 2.2, 4.0, 5.0, 5.5]
     rows = [(1, 2 * i, float(np.cos(a)), float(np.sin(a))) for i, a in enumerate(angle)]
