@@ -467,10 +467,10 @@ def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return even, odd
 
 
-def _distances(spark: SparkSession, d: str) -> DataFrame:
+def _distances(spark: SparkSession, d: str, limit: float = SAME_CURVE) -> DataFrame:
     a, b = _sides(spark, d)
     return proximity.curve_distances(
-        a, b, image=["image_id"], ida="pred_id", idb="gt_id", max_distance=SAME_CURVE
+        a, b, image=["image_id"], ida="pred_id", idb="gt_id", max_distance=limit
     )
 
 
@@ -691,7 +691,37 @@ def _matched(spark: SparkSession, d: str) -> DataFrame:
     return matching.match_curves(_distances(spark, d), image=["image_id"], ida="pred_id", idb="gt_id")
 
 
-@query("match_assignment")
+def assignment_sql(limit: float) -> str:
+    """Every set of feasible pairs that share no curve is listed; the largest, then the shortest, is kept."""
+    return f"""WITH RECURSIVE {ODD_EVEN_SQL},
+    ok AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY pred_id, gt_id) AS k FROM cost WHERE distance <= {limit}),
+    sets AS (SELECT DISTINCT image_id, 0::BIGINT AS k, 0::BIGINT AS last, []::BIGINT[] AS used, 0::BIGINT AS n, 0::DOUBLE AS total FROM ok
+             UNION ALL SELECT m.image_id, s.k, s.pred_id, list_append(m.used, s.gt_id), m.n + 1, m.total + s.distance
+             FROM sets m JOIN ok s ON s.image_id = m.image_id AND s.k > m.k AND (m.n = 0 OR s.pred_id > m.last)
+             WHERE NOT list_contains(m.used, s.gt_id)),
+    best AS (SELECT image_id, max(n) AS matched, arg_min(total, (-n, total)) AS total_distance FROM sets GROUP BY image_id),
+    g AS (SELECT image_id, count(DISTINCT filament_id) AS n_manual FROM gt GROUP BY image_id),
+    p AS (SELECT image_id, count(DISTINCT filament_id) AS n_detected FROM pred GROUP BY image_id),
+    a AS (SELECT image_id, coalesce(n_manual, 0) AS n_manual, coalesce(n_detected, 0) AS n_detected, coalesce(matched, 0) AS matched, coalesce(total_distance, 0) AS total_distance
+          FROM g FULL JOIN p USING (image_id) LEFT JOIN best USING (image_id))
+    SELECT image_id, n_manual, n_detected, matched, {r6("total_distance", "total_distance")}, {r6("CASE WHEN n_manual > 0 THEN matched::DOUBLE / n_manual END", "recall")},
+      {r6("CASE WHEN n_detected > 0 THEN matched::DOUBLE / n_detected END", "precision_lower_bound")},
+      {r6("CASE WHEN matched > 0 THEN n_detected::DOUBLE / matched END", "detections_per_matched_fibril")} FROM a"""
+
+
+NEAR_CURVE = 0.35
+
+
+@query("match_crowded", assignment_sql(NEAR_CURVE))
+def match_crowded(spark: SparkSession, d: str) -> DataFrame:
+    """The assignment where curves have several partners to choose from."""
+    a, b = _sides(spark, d)
+    near = session.cut_lineage(_distances(spark, d, NEAR_CURVE))
+    pairs = matching.match_curves(near, image=["image_id"], ida="pred_id", idb="gt_id")
+    return rounded(matching.match_summary(pairs, a, b, image="image_id", ida="pred_id", idb="gt_id"))
+
+
+@query("match_assignment", assignment_sql(SAME_CURVE))
 def match_assignment(spark: SparkSession, d: str) -> DataFrame:
     a, b = _sides(spark, d)
     s = matching.match_summary(_matched(spark, d), a, b, image="image_id", ida="pred_id", idb="gt_id")
