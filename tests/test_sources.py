@@ -124,6 +124,56 @@ def test_imagej(spark, tmp_path):
         read_traces(spark, str(tmp_path / "none.zip")).count()
 
 
+def boxed(shape, box, *, sub_pixel=None, path=()) -> bytes:
+    """A ROI kept as a box (top, left, bottom, right), or as a composite's path."""
+    head = bytearray(64)
+    head[:4] = b"Iout"
+    struct.pack_into(">hB", head, 4, 227, shape)
+    struct.pack_into(">4h", head, 8, *box)
+    if sub_pixel:
+        struct.pack_into(">4f", head, 18, *sub_pixel)
+        struct.pack_into(">h", head, 50, 128)
+    struct.pack_into(">i", head, 36, len(path))
+    return bytes(head) + struct.pack(f">{len(path)}f", *path)
+
+
+def test_roi_shapes_without_vertices():
+    square = [(3, 2), (3, 12), (23, 12), (23, 2), (3, 2)]
+    assert parse_roi(boxed(1, (2, 3, 12, 23)))[1] == square
+    assert parse_roi(boxed(1, (0, 0, 0, 0), sub_pixel=(3.5, 2.5, 20.0, 10.0)))[1][2] == (23.5, 12.5)
+    oval = np.array(parse_roi(boxed(2, (2, 3, 12, 23)))[1])
+    assert len(oval) == 33 and (oval[0] == oval[-1]).all()
+    assert np.allclose((((oval - [13, 7]) / [10, 5]) ** 2).sum(axis=1), 1)
+    # Two parts: a triangle that is closed, and one of straight and curved pieces, which has more vertices.
+    path = [0, 1, 1, 1, 5, 1, 1, 1, 5, 4, 0, 0, 0, 1, 10, 0, 2, 20, 0, 20, 10, 3, 20, 20, 10, 20, 0, 20]
+    got = np.array(parse_roi(boxed(9, (0, 0, 20, 20), path=path))[1])
+    assert len(got) == 2 + 24 + 24 and got[:2].tolist() == [[0, 0], [10, 0]]
+    assert got[13].tolist() == [17.5, 2.5] and got[25].tolist() == [20, 10] and got[-1].tolist() == [0, 20]
+    assert parse_roi(boxed(9, (0, 0, 9, 9), path=[0, 1, 1, 1, 5, 1, 1, 1, 5, 4]))[1] == [(1, 1), (5, 1), (1, 5), (1, 1)]
+    with pytest.raises(ValueError, match="path"):
+        parse_roi(boxed(9, (0, 0, 9, 9), path=[0, 1, 1, 7, 3]))
+
+
+def test_rois_of_one_name_stay_apart(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "two.zip", "w") as z:
+        for i, (name, y) in enumerate([("same", 0), ("same", 100), ("", 5), ("f002", 7), ("same-001", 9)]):
+            z.writestr(f"{i}.roi", roi([(0, y), (10, y)], name=name))
+    got = polylines(read_traces(spark, str(tmp_path / "two.zip")), "filament_id")
+    assert len(got) == 5 and all(len(p) == 2 and np.hypot(*(p[1] - p[0])) == 10 for p in got.values())
+    assert ("two", "same") in got and ("two", "f002") in got and ("two", "same-001") in got
+
+
+def test_settings_are_checked(tmp_path):
+    f = tmp_path / "c.yaml"
+    f.write_text("pixel_size_a: 2\nother_program: {a: 1}\ndetect: {sigmas: [1, 2]}\ntrace:\n")
+    cfg = Config.from_yaml(f)
+    assert cfg.pixel_size_a == 2 and cfg.detect.sigmas == [1, 2] and cfg.trace == Config().trace
+    for bad, said in (("trace: {smooth_window: 2.5}", "smooth_window"), ("detect: {nothing: 1}", "nothing"), ("bootstrap_ci: 1", "bootstrap_ci"), ("detect: {sigmas: [a]}", "sigmas")):
+        f.write_text(bad)
+        with pytest.raises((TypeError, ValueError), match=said):
+            Config.from_yaml(f)
+
+
 def test_pictures(spark, tmp_path):
     grey = RNG.integers(0, 256, size=(40, 70)).astype(np.uint8)
     colour = RNG.integers(0, 256, size=(30, 20, 3)).astype(np.uint8)
