@@ -106,7 +106,7 @@ def to_pixels(chips: DataFrame, keys: Sequence[str], px: str = "px") -> DataFram
 def block_average(chips: DataFrame, keys: Sequence[str], factor: int, px: str = "px") -> DataFrame:
     """Mean of factor x factor blocks; a ragged right or bottom edge is dropped."""
     if factor < 1:
-        raise ValueError("factor must be >= 1")
+        raise ValueError(f"cannot average blocks of {factor} pixels")
     sized = chips.select(*keys, "height", "width", F.posexplode(px).alias("k", "v"))
     y, x = F.floor(F.col("k") / F.col("width")), F.col("k") % F.col("width")
     return (
@@ -241,11 +241,12 @@ def select_patches(
 
 
 def draw_segments(segments: DataFrame, keys: Sequence[str], *, repeats: bool = False) -> DataFrame:
-    """Pixels of straight lines between rounded vertices, clipped per pixel.
+    """Pixels of straight lines between rounded vertices, clipped to the canvas.
 
     ``segments``: x0, y0, x1, y1 (doubles) and the canvas height and width.
     Vertices are rounded half to even. Along the longer axis every step is one
-    pixel; the shorter offset is the integer form of Bresenham's error rule.
+    pixel; the shorter offset is the integer form of Bresenham's error rule. Steps
+    off the canvas along that axis are never made, so a far vertex costs nothing.
     ``repeats`` leaves shared pixels in, for a caller that merges them anyway.
     """
     ints = segments.select(
@@ -263,11 +264,20 @@ def draw_segments(segments: DataFrame, keys: Sequence[str], *, repeats: bool = F
         F.floor((2 * t * F.col("minor") + F.col("major")) / F.greatest(2 * F.col("major"), F.lit(1))),
     ).otherwise(F.lit(0)).cast("long")
     sx, sy = F.when(F.col("x1") >= F.col("x0"), 1).otherwise(-1), F.when(F.col("y1") >= F.col("y0"), 1).otherwise(-1)
+    # The steps whose place on the longer axis lies on the canvas.
+    start = F.when(F.col("steep"), F.col("y0")).otherwise(F.col("x0"))
+    last = F.when(F.col("steep"), F.col("height")).otherwise(F.col("width")).cast("long") - 1
+    ahead = F.when(F.col("steep"), sy).otherwise(sx) > 0
+    low = F.greatest(F.lit(0).cast("long"), F.when(ahead, -start).otherwise(start - last))
+    high = F.least(F.col("major"), F.when(ahead, last - start).otherwise(start))
     pixels = (
         ints.withColumn("steep", steep)
         .withColumn("major", major)
         .withColumn("minor", minor)
-        .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("major"))).alias("t"))
+        .withColumn("low", low)
+        .withColumn("high", high)
+        .filter(F.col("low") <= F.col("high"))
+        .select("*", F.explode(F.sequence("low", "high")).alias("t"))
         .select(
             *keys,
             "height",

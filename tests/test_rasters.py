@@ -193,6 +193,25 @@ def test_top_two_in_turns(spark):
         assert whole[i]["best_score"] == pytest.approx(corr[i].max(), abs=1e-6)
 
 
+def test_far_vertices_are_clipped_before_pixels_are_made(spark):
+    ends = [(-7.0, 3.0, 12.0, 5.0), (4.0, 30.0, 2.0, -9.0), (50.0, 50.0, 60.0, 60.0), (3.0, 4.0, 3.0, 4.0), (12.0, -3.0, -6.0, 14.0)]
+    df = spark.createDataFrame([(i, 10, 8, *map(float, e)) for i, e in enumerate(ends)], "k int, height int, width int, x0 double, y0 double, x1 double, y1 double")
+    got = {(r["k"], r["y"], r["x"]) for r in R.draw_segments(df, ["k"]).collect()}
+    want = set()
+    for k, (x0, y0, x1, y1) in enumerate(ends):
+        n = int(max(abs(x1 - x0), abs(y1 - y0)))
+        m = int(min(abs(x1 - x0), abs(y1 - y0)))
+        for t in range(n + 1):
+            side = (2 * t * m + n) // max(2 * n, 1) if n else 0
+            dx, dy = (side, t) if abs(y1 - y0) > abs(x1 - x0) else (t, side)
+            y, x = int(y0 + (dy if y1 >= y0 else -dy)), int(x0 + (dx if x1 >= x0 else -dx))
+            if 0 <= y < 10 and 0 <= x < 8:
+                want.add((k, y, x))
+    assert got == want and want
+    far = spark.createDataFrame([(0, 10, 8, 2.0, 5.0, 1e9, 5.0)], df.schema)
+    assert {(r["y"], r["x"]) for r in R.draw_segments(far, ["k"]).collect()} == {(5, x) for x in range(2, 8)}
+
+
 def test_blocks_score_as_pairs_do(spark):
     a, b = RNG.uniform(size=(23, 40)), RNG.uniform(size=(31, 40))
     b[3], b[4] = 0.5, b[5]
