@@ -4,6 +4,8 @@
     python -m strandflow.cli trace img.mrc --patient P1 --out outputs
     python -m strandflow.cli summarize outputs/per_image --out outputs/per_patient
     python -m strandflow.cli validate labelled_set --split val --out outputs/validation
+    python -m strandflow.cli cross-validate labelled_set --folds 5 --out outputs/cv
+    python -m strandflow.cli compare-runs labelled_set a.yaml b.yaml --reports reports/training_runs.jsonl
     python -m strandflow.cli match micrographs screenshots --mapping outputs/mapping
     python -m strandflow.cli import-deck decks --out outputs/decks
 """
@@ -11,6 +13,7 @@
 from __future__ import annotations
 
 import argparse
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -47,6 +50,24 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--seed", type=int, default=0)
     p.add_argument("--config", default=None)
     p.add_argument("--out", default="outputs/validation")
+    p = sub.add_parser("cross-validate")
+    p.add_argument("folder")
+    p.add_argument("--folds", type=int, default=5)
+    p.add_argument("--n-val", type=int, default=6)
+    p.add_argument("--seed", type=int, default=0)
+    p.add_argument("--pixel-size-nm", type=float, default=1.0)
+    p.add_argument("--name", default="cv")
+    p.add_argument("--config", default=None)
+    p.add_argument("--out", default="outputs/cv")
+    p = sub.add_parser("compare-runs")
+    p.add_argument("folder")
+    p.add_argument("configs", nargs="+", help="settings of each run, named after its file")
+    p.add_argument("--reports", default=None)
+    p.add_argument("--split", choices=("train", "val", "test"), default=None)
+    p.add_argument("--n-val", type=int, default=6)
+    p.add_argument("--n-test", type=int, default=6)
+    p.add_argument("--seed", type=int, default=0)
+    p.add_argument("--out", default="outputs/runs")
     p = sub.add_parser("match")
     p.add_argument("micrographs")
     p.add_argument("screenshots")
@@ -78,7 +99,23 @@ def main(argv: list[str] | None = None) -> None:
         if not warnings.isEmpty():
             print("screenshots of several pixel sizes:", warnings.first()["pixel_sizes_a"])
         return
+    if args.command == "compare-runs":
+        runs = {Path(c).stem: (Config.from_yaml(c), None) for c in args.configs}
+        if len(runs) < len(args.configs):
+            raise SystemExit("two runs of one name: name the settings files apart")
+        jobs.compare_set(
+            spark, args.folder, args.out, runs, reports=args.reports, split=args.split, n_val=args.n_val, n_test=args.n_test, seed=args.seed
+        ).show(truncate=False)
+        return
     cfg = Config.from_yaml(args.config) if args.config else Config()
+    if args.command == "cross-validate":
+        tables = jobs.cross_validate_set(
+            spark, args.folder, args.out, name=args.name, n_folds=args.folds, n_val=args.n_val,
+            seed=args.seed, pixel_size=args.pixel_size_nm, config=cfg,
+        )
+        tables["recall"].show(truncate=False)
+        tables["metric_errors"].show(truncate=False)
+        return
     if args.command == "validate":
         jobs.validate_set(
             spark, args.folder, args.out, split=args.split, n_val=args.n_val, n_test=args.n_test, seed=args.seed, config=cfg

@@ -7,14 +7,15 @@ an optional extended header, then the pixels, x fastest.
 from __future__ import annotations
 
 import glob
+import json
 import os
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -83,11 +84,15 @@ def write_mrc(path: str, image: np.ndarray, pixel_size_a: float) -> None:
 
 @dataclass
 class _Files(InputPartition):
+    """Files, and which of ``parts`` equal shares of their bands of tiles."""
+
     paths: list
+    part: int = 0
+    parts: int = 1
 
 
-# Headers read by one task, and bytes of tiles handed to Spark at once.
-HEADERS_A_TASK, BATCH_BYTES = 256, 4 << 20
+# Headers read by one task, bytes of a file read by one task, and bytes of tiles handed to Spark at once.
+HEADERS_A_TASK, TASK_BYTES, BATCH_BYTES = 256, 64 << 20, 4 << 20
 HEADER_ROW = T.StructType(
     [
         T.StructField("image_id", T.StringType()),
@@ -108,6 +113,12 @@ class _MrcReader(DataSourceReader):
         size = options.get("pixel_size_a")
         self.pixel_size_a = float(size) if size not in (None, "") else None
         self.headers = str(options.get("headers", "")).lower() == "true"
+        self.task_bytes = int(options.get("task_bytes", TASK_BYTES))
+        only = options.get("only")
+        self.only = set(json.loads(only)) if only is not None else None
+
+    def named(self, path: str) -> bool:
+        return self.only is None or os.path.splitext(os.path.basename(path))[0] in self.only
 
     def partitions(self) -> list[InputPartition]:
         if os.path.isdir(self.root):
@@ -116,8 +127,11 @@ class _MrcReader(DataSourceReader):
             found = sorted(glob.glob(self.root))
         if not found:
             raise FileNotFoundError(f"no .mrc files at {self.root}")
-        each = HEADERS_A_TASK if self.headers else 1
-        return [_Files(found[i : i + each]) for i in range(0, len(found), each)]
+        found = [path for path in found if self.named(path)]
+        if self.headers:
+            return [_Files(found[i : i + HEADERS_A_TASK]) for i in range(0, len(found), HEADERS_A_TASK)] or [_Files([])]
+        shares = {path: max(1, -(-os.path.getsize(path) // self.task_bytes)) for path in found}
+        return [_Files([path], k, n) for path, n in shares.items() for k in range(n)] or [_Files([])]
 
     def read(self, partition: _Files) -> Iterator:
         return self.read_headers(partition) if self.headers else self.read_tiles(partition)
@@ -149,7 +163,9 @@ class _MrcReader(DataSourceReader):
                 start = head.frame_offset(self.frame)
                 image_id = os.path.splitext(os.path.basename(path))[0]
                 size = self.pixel_size_a if self.pixel_size_a is not None else (head.pixel_size_a or 1.0)
-                for ty, y0 in enumerate(range(0, head.height, self.tile)):
+                bands = -(-head.height // self.tile)
+                for ty in range(bands * partition.part // partition.parts, bands * (partition.part + 1) // partition.parts):
+                    y0 = ty * self.tile
                     rows = min(self.tile, head.height - y0)
                     fh.seek(start + y0 * head.width * head.dtype.itemsize)
                     band = np.frombuffer(fh.read(rows * head.width * head.dtype.itemsize), dtype=head.dtype)
@@ -177,23 +193,39 @@ class MrcDataSource(DataSource):
 
 
 def read_mrc(
-    spark: SparkSession, path: str, *, frame: int = 0, pixel_size_a: float | None = None, tile: int = TILE
+    spark: SparkSession,
+    path: str,
+    *,
+    frame: int = 0,
+    pixel_size_a: float | None = None,
+    tile: int = TILE,
+    task_bytes: int = TASK_BYTES,
+    only: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Tiles of every micrograph at ``path`` (file, folder or pattern on a mounted disk)."""
+    """Tiles of every micrograph at ``path`` (file, folder or pattern on a mounted disk).
+
+    With ``only`` (image ids) no other file is opened. A file of over ``task_bytes``
+    is read by several tasks, each a share of its bands of tiles.
+    """
     spark.dataSource.register(MrcDataSource)
-    reader = spark.read.format("mrc").option("frame", frame).option("tile", tile)
+    reader = spark.read.format("mrc").option("frame", frame).option("tile", tile).option("task_bytes", task_bytes)
+    return _loaded(reader, path, pixel_size_a, only)
+
+
+def _loaded(reader: DataFrameReader, path: str, pixel_size_a: float | None, only: Sequence[str] | None) -> DataFrame:
     if pixel_size_a is not None:
         reader = reader.option("pixel_size_a", pixel_size_a)
+    if only is not None:
+        reader = reader.option("only", json.dumps(list(only)))
     return reader.load(path)
 
 
-def read_mrc_headers(spark: SparkSession, path: str, *, pixel_size_a: float | None = None) -> DataFrame:
+def read_mrc_headers(
+    spark: SparkSession, path: str, *, pixel_size_a: float | None = None, only: Sequence[str] | None = None
+) -> DataFrame:
     """What ``image_table`` gives, from the headers alone: no pixel is read."""
     spark.dataSource.register(MrcDataSource)
-    reader = spark.read.format("mrc").option("headers", True)
-    if pixel_size_a is not None:
-        reader = reader.option("pixel_size_a", pixel_size_a)
-    return reader.load(path)
+    return _loaded(spark.read.format("mrc").option("headers", True), path, pixel_size_a, only)
 
 
 def decode_mrc(

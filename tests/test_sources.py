@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import io
 import json
+import os
 import struct
 import zipfile
 from datetime import datetime
@@ -16,7 +17,7 @@ from strandflow.cli import main as cli
 from strandflow.config import Config
 from strandflow.plans import jobs
 from strandflow.schema import METRICS, PER_IMAGE
-from strandflow.sources import sinks
+from strandflow.sources import commit, sinks
 from strandflow.sources.decks import read_deck
 from strandflow.sources.images import picture_size, png_bytes, read_grayscale, read_pictures
 from strandflow.sources.mrc import decode_mrc, image_table, parse_header, read_mrc, read_mrc_headers, write_mrc
@@ -257,6 +258,23 @@ def test_csv_columns_by_file_and_odd_names(spark, tmp_path):
     assert {k: v.tolist() for k, v in p.items()} == {("my img+1%", "f"): [[10, 1], [20, 2]], ("b", "f"): [[30, 3], [40, 4]]}
 
 
+def test_named_mrc_files_only_and_large_ones_shared_out(spark, tmp_path):
+    a = RNG.normal(size=(300, 410)).astype(np.float32)
+    for name in ("m1", "m2", "m3"):
+        write_mrc(str(tmp_path / f"{name}.mrc"), a, 3.3)
+    (tmp_path / "broken.mrc").write_bytes(b"no header")
+    one = read_mrc(spark, str(tmp_path), tile=64, task_bytes=100_000, only=["m2"])
+    np.testing.assert_array_equal(assemble(one, a.shape), a)  # the broken file is not opened
+    assert one.rdd.getNumPartitions() == 5  # 493,024 bytes
+    some = read_mrc(spark, str(tmp_path), tile=64, only=["m1", "m3"]).filter("ty = 0")
+    assert {(r["image_id"], r["ty"]) for r in some.collect()} == {("m1", 0), ("m3", 0)}
+    heads = read_mrc_headers(spark, str(tmp_path), only=["m3"])
+    assert [r["image_id"] for r in heads.collect()] == ["m3"]
+    assert read_mrc(spark, str(tmp_path), only=[]).count() == read_mrc_headers(spark, str(tmp_path), only=["none"]).count() == 0
+    tiny = read_mrc(spark, str(tmp_path / "m1.mrc"), tile=512, task_bytes=1000)  # more shares than bands
+    np.testing.assert_array_equal(assemble(tiny, a.shape), a)
+
+
 def test_mapping_table(spark, tmp_path):
     path = str(tmp_path / "map")
 
@@ -268,6 +286,49 @@ def test_mapping_table(spark, tmp_path):
     assert {r["image_id"]: r["match_score"] for r in merged.collect()} == {"a": 0.91, "b": 0.95, "c": 0.99}
 
 
+def test_a_failed_upsert_keeps_the_mapping(spark, tmp_path):
+    path = str(tmp_path / "map")
+    one = spark.createDataFrame([("a", "p", 1.0, 4.0, 4.0, 0.9)], sinks.MAPPING)
+    sinks.upsert_mapping(spark, one, path)
+    broken = one.withColumn("match_score", F.raise_error(F.lit("lost")).cast("double"))
+    with pytest.raises(Exception, match="lost"):
+        sinks.upsert_mapping(spark, broken, path)
+    assert [r["match_score"] for r in sinks.read_mapping(spark, path).collect()] == [0.9]
+    for score in (0.91, 0.92, 0.93):
+        old = sinks.read_mapping(spark, path)
+        sinks.upsert_mapping(spark, one.withColumn("match_score", F.lit(score)), path)
+        assert old.count() == 1  # a reader of the version before is not disturbed
+    assert [r["match_score"] for r in sinks.read_mapping(spark, path).collect()] == [0.93]
+    assert len(commit.versions(spark, path)) == 2 and not [p for p in os.listdir(path) if p.startswith(".v")]
+
+
+def test_tables_change_together_or_not_at_all(spark, tmp_path):
+    good = spark.createDataFrame([(1,)], "v int")
+    bad = good.select(F.raise_error(F.lit("lost")).cast("int").alias("v"))
+    sinks.write_tables({"one": good, "two": good}, str(tmp_path), {"n": 1})
+    with pytest.raises(Exception, match="lost"):
+        sinks.write_tables({"one": good.limit(0), "two": bad}, str(tmp_path), {"n": 2})
+    assert [spark.read.csv(str(tmp_path / t), header=True).count() for t in ("one", "two")] == [1, 1]
+    assert json.loads((tmp_path / "summary.json").read_text()) == {"n": 1}
+    sinks.write_tables({"one": good.union(good)}, str(tmp_path), {"n": 3})
+    assert spark.read.csv(str(tmp_path / "one"), header=True).count() == 2
+    assert json.loads((tmp_path / "summary.json").read_text()) == {"n": 3}
+    assert sorted(p for p in os.listdir(tmp_path) if "stage" in p) == []
+
+
+def test_overlays_show_when_all_tasks_ended_well(spark, tmp_path):
+    rows = spark.range(6).repartition(3).selectExpr("concat('i', id) image_id", "0 ty", "1 tx", "encode(string(id), 'utf-8') png")
+    folder = tmp_path / "over"
+    bad = rows.withColumn("png", F.when(F.col("image_id") == "i4", F.raise_error(F.lit("lost"))).otherwise(F.col("png")))
+    with pytest.raises(Exception, match="lost"):
+        sinks.save_overlays(bad, str(folder))
+    assert not folder.exists() or os.listdir(folder) == []
+    sinks.save_overlays(rows, str(folder))
+    assert {p.name: p.read_text() for p in folder.iterdir()} == {f"overlay_i{k}_0_1.png": str(k) for k in range(6)}
+    sinks.save_overlays(rows.limit(0), str(folder))
+    assert len(os.listdir(folder)) == 6
+
+
 def test_run_log(spark, tmp_path):
     for loss in (0.5, 0.4):
         sinks.write_run(spark, {"run": "r1", "finished_at": f"2026-01-0{int(loss * 10)}", "best_val_loss": loss, "args": {"pos_weight": "3"}, "curve": [1, 2]}, str(tmp_path))
@@ -415,6 +476,32 @@ def test_validation_of_a_labelled_set(spark, tmp_path):
     assert [r["image_id"] for r in done if r["run"] not in first] == ["m1"] and len(first) == 1
 
 
+def test_cross_validation_and_run_comparison_as_commands(spark, tmp_path):
+    for part in ("images", "traces"):
+        (tmp_path / "set" / part).mkdir(parents=True)
+    for k in range(3):
+        img, curves = jobs.synthetic_micrograph((96, 128), n=1, seed=k)
+        grey = np.clip(255 * (img - img.min()) / np.ptp(img), 0, 255).astype(np.uint8)
+        (tmp_path / "set" / "images" / f"m{k}.png").write_bytes(png_bytes(grey))
+        lines = "".join(f"c{i},{x},{y}\n" for i, c in enumerate(curves) for x, y in c)
+        (tmp_path / "set" / "traces" / f"m{k}.csv").write_text("filament_id,x,y\n" + lines)
+    folder, out = str(tmp_path / "set"), str(tmp_path / "out")
+    cli(["cross-validate", folder, "--folds", "2", "--n-val", "0", "--name", "two", "--out", out])
+    read = lambda t: spark.read.option("header", True).csv(f"{out}/{t}")
+    rows = read("two_per_image").collect()
+    assert sorted(r["image_id"] for r in rows) == ["m0", "m1", "m2"] and {r["fold"] for r in rows} == {"0", "1"}
+    assert read("two_metric_errors").count() == len(METRICS)
+    s = json.loads((tmp_path / "out" / "two_summary.json").read_text())
+    assert (s["n_images"], s["folds"], len(s["per_fold"])) == (3, 2, 2)
+    assert s["matched"] == sum(f["matched"] for f in s["per_fold"]) == read("two_matched_fibrils").count()
+    (tmp_path / "plain.yaml").write_text("detect:\n  prob_threshold: 0.2\n")
+    (tmp_path / "blind.yaml").write_text("detect:\n  prob_threshold: 1.5\n")
+    cli(["compare-runs", folder, str(tmp_path / "blind.yaml"), str(tmp_path / "plain.yaml"), "--out", out])
+    got = json.loads((tmp_path / "out" / "sweep_comparison.json").read_text())
+    assert [r["run"] for r in got] == ["plain", "blind"]
+    assert (got[1]["objects"], got[1]["coverage"], got[1]["recall"], got[1]["pos_weight"]) == (0.0, 0.0, 0.0, "?")
+
+
 def test_deck_outputs(spark, tmp_path):
     line = f"<a:moveTo>{pts((0, 0))}</a:moveTo><a:lnTo>{pts((100, 100))}</a:lnTo>"
     (tmp_path / "in").mkdir()
