@@ -1228,6 +1228,98 @@ def ridge_drawn(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+# A curve across each 8 x 8 raster, one vertex a column, and what moves it: five offsets.
+CHIP_SNAP = {"max_shift": 1.0, "shift_step": 0.5, "resample_step": 0.25, "jump_penalty": 0.02, "anchor_penalty": 0.01}
+CHIP_OFFSETS = (-1.0, -0.5, 0.0, 0.5, 1.0)
+
+
+def bilinear_sql(x: str, y: str) -> str:
+    """Value of the 8 x 8 list ``px`` at (x, y); outside it, 0."""
+    x0, y0 = f"CAST(greatest(least(floor({x}), 6), 0) AS BIGINT)", f"CAST(greatest(least(floor({y}), 6), 0) AS BIGINT)"
+
+    def line(row: str) -> str:
+        at = f"8 * ({row}) + {x0}"
+        return f"(px[{at} + 1]::DOUBLE * (1 - ({x} - {x0})) + px[{at} + 2]::DOUBLE * ({x} - {x0}))"
+
+    return f"""CASE WHEN {x} >= 0 AND {x} <= 7 AND {y} >= 0 AND {y} <= 7 THEN
+      {line(y0)} * (1 - ({y} - {y0})) + {line(f"{y0} + 1")} * ({y} - {y0}) ELSE 0 END"""
+
+
+def path_sql(name: str, src: str, keys: str, pull: float, anchor: str) -> str:
+    """CTEs to ``name_path``: keys, ord, p (place among the offsets). ``src``: keys, ord, n, val (list), the anchor."""
+    jump = CHIP_SNAP["jump_penalty"]
+    numbers = range(1, len(CHIP_OFFSETS) + 1)
+
+    def moved(before: str, to: str) -> str:
+        return ", ".join(f"{before}[{i}] + (-{jump}::DOUBLE * abs({CHIP_OFFSETS[i - 1]}::DOUBLE - {to}))" for i in numbers)
+
+    own = ", ".join(f"val[{i}] - {pull}::DOUBLE * abs({o}::DOUBLE - {anchor})" for i, o in enumerate(CHIP_OFFSETS, 1))
+    onto = ", ".join(f"s.sc[{j}] + greatest({moved('b.t', f'{o}::DOUBLE')})" for j, o in enumerate(CHIP_OFFSETS, 1))
+    offsets = f"[{', '.join(f'{o}::DOUBLE' for o in CHIP_OFFSETS)}]"
+    return f"""{name}_own AS (SELECT {keys}, ord, n, [{own}] AS sc FROM {src}),
+  {name}_tot AS (SELECT {keys}, ord, n, sc AS t FROM {name}_own WHERE ord = 0
+    UNION ALL SELECT s.{keys}, s.ord, s.n, [{onto}] FROM {name}_tot b JOIN {name}_own s ON s.{keys} = b.{keys} AND s.ord = b.ord + 1),
+  {name}_path AS (SELECT {keys}, ord, list_position(t, list_max(t)) AS p FROM {name}_tot WHERE ord = n - 1
+    UNION ALL SELECT {keys}, ord, list_position(m, list_max(m)) FROM (
+      SELECT b.{keys}, b.ord, [{moved('b.t', f'{offsets}[a.p]')}] AS m
+      FROM {name}_path a JOIN {name}_tot b ON b.{keys} = a.{keys} AND b.ord = a.ord - 1))"""
+
+
+SNAP_SQL = f"""WITH RECURSIVE {V4_SQL},
+  line AS (SELECT vec_id, x AS ord, CAST(x AS DOUBLE) AS x, 3.5::DOUBLE + 4 * v AS y FROM v4 WHERE y = 3),
+  {resample_sql("line", "vec_id", "0.25")},
+  near AS (SELECT *, lead(x) OVER w AS xn, lead(y) OVER w AS yn, lag(x) OVER w AS xp, lag(y) OVER w AS yp
+           FROM resampled WINDOW w AS (PARTITION BY vec_id ORDER BY ord)),
+  slope AS (SELECT *, (coalesce(xn, x) - coalesce(xp, x)) / CASE WHEN xn IS NULL OR xp IS NULL THEN 1 ELSE 2 END AS tx,
+                   (coalesce(yn, y) - coalesce(yp, y)) / CASE WHEN xn IS NULL OR xp IS NULL THEN 1 ELSE 2 END AS ty FROM near),
+  base AS (SELECT vec_id, ord, n, x, y, embedding AS px,
+             CASE WHEN tx <> 0 OR ty <> 0 THEN -ty / sqrt(tx * tx + ty * ty) ELSE 0 END AS nx,
+             CASE WHEN tx <> 0 OR ty <> 0 THEN tx / sqrt(tx * tx + ty * ty) ELSE 0 END AS ny
+           FROM slope JOIN embeddings USING (vec_id)),
+  val AS (SELECT vec_id, ord, n, x, y, nx, ny, [{", ".join(bilinear_sql(f"(x + {o}::DOUBLE * nx)", f"(y + {o}::DOUBLE * ny)") for o in CHIP_OFFSETS)}] AS val
+          FROM base),
+  {path_sql("one", "val", "vec_id", snap.TIE_BREAK, "0::DOUBLE")},
+  o AS (SELECT [{", ".join(f"{o}::DOUBLE" for o in CHIP_OFFSETS)}] AS o),
+  mid AS (SELECT vec_id, median(o[p]) AS anchor FROM one_path, o GROUP BY vec_id),
+  val2 AS (SELECT val.*, anchor FROM val JOIN mid USING (vec_id)),
+  {path_sql("two", "val2", "vec_id", CHIP_SNAP["anchor_penalty"], "anchor")},
+  moved AS (SELECT vec_id, ord, n, x + o[p] * nx AS x, y + o[p] * ny AS y, o[p] AS off
+            FROM val JOIN two_path USING (vec_id, ord), o),
+  {smooth_sql("moved", "vec_id", 9)},
+  spread AS (SELECT vec_id, count(*) AS n, median(off) AS offset_median, quantile_cont(off, 0.75) - quantile_cont(off, 0.25) AS offset_spread,
+                    sum(off * (ord + 1)) AS offset_moment FROM moved GROUP BY vec_id),
+  before AS (SELECT vec_id, avg(val[3]) AS score_before FROM val GROUP BY vec_id),
+  after AS (SELECT vec_id, avg(v) AS score_after FROM
+              (SELECT vec_id, {bilinear_sql("x", "y")} AS v FROM (SELECT s.vec_id, s.x, s.y, embedding AS px FROM smoothed s JOIN embeddings USING (vec_id)))
+            GROUP BY vec_id)"""
+
+
+@query(
+    "snap_chips",
+    f"""{SNAP_SQL}
+    SELECT vec_id AS image_id, n, {r6("offset_median", "offset_median")}, {r6("offset_spread", "offset_spread")},
+           {r6("offset_moment", "offset_moment")}, {r6("score_before", "score_before")}, {r6("score_after", "score_after")},
+           {r6("CASE WHEN score_before > 0 THEN score_after / score_before ELSE CAST('inf' AS DOUBLE) END", "gain")}
+    FROM spread JOIN before USING (vec_id) JOIN after USING (vec_id)""",
+)
+def snap_chips(spark: SparkSession, d: str) -> DataFrame:
+    """A curve across each 8 x 8 raster snapped in two passes; offsets and response per curve."""
+    chips = S.chips(spark, d).withColumnRenamed("vec_id", "image_id")
+    x = F.posexplode(F.slice("px", 25, 8)).alias("seq", "v")
+    line = chips.select("image_id", F.col("image_id").alias("filament_id"), x).select(
+        "image_id", "filament_id", F.col("seq").cast("long").alias("seq"), F.col("seq").cast("double").alias("x"),
+        (F.lit(3.5) + F.lit(4.0) * F.col("v").cast("double")).alias("y"), F.lit(0).cast("long").alias("block"),
+    )
+    snapped, quality = snap.snap_to_ridge(line, tiles.cut_tiles(chips, tile=DRAW_TILE), tile=DRAW_TILE, **CHIP_SNAP)
+    offsets = snapped.groupBy("image_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("offset") * (F.col("seq") + 1)).alias("offset_moment")
+    )
+    middle = quantiles.exact_quantiles(snapped, ["image_id"], "offset", [0.5]).select(
+        "image_id", F.col("q")[0].alias("offset_median")
+    )
+    return rounded(quality.drop("filament_id").join(offsets, "image_id").join(middle, "image_id"))
+
+
 @query("snap_drawn")
 def snap_drawn(spark: SparkSession, d: str) -> DataFrame:
     """Curves moved six pixels off their own blurred image and snapped back."""
