@@ -1320,6 +1320,75 @@ def snap_chips(spark: SparkSession, d: str) -> DataFrame:
     return rounded(quality.drop("filament_id").join(offsets, "image_id").join(middle, "image_id"))
 
 
+# Scales of the ridge map over the 8 x 8 rasters; the wider kernel mirrors a whole raster.
+CHIP_SIGMAS = (1.0, 2.0)
+
+RIDGE_SQL = f"""WITH {V4_SQL},
+  ends AS (SELECT vec_id, min(v) AS low, max(v) AS high FROM v4 GROUP BY vec_id),
+  flat AS (SELECT vec_id, y, x, CAST((CAST(v AS FLOAT) - CAST(low AS FLOAT)) / CAST(high - low + 1e-9::DOUBLE AS FLOAT) AS DOUBLE) AS v
+           FROM v4 JOIN ends USING (vec_id)),
+  boxes AS (SELECT vec_id, list(v ORDER BY y, x) AS px FROM flat GROUP BY vec_id),
+  near AS (SELECT vec_id, y, x, v, dy, dx,
+             CASE WHEN y + dy BETWEEN 0 AND 7 AND x + dx BETWEEN 0 AND 7 THEN px[8 * (y + dy) + x + dx + 1] ELSE 0 END AS w
+           FROM flat JOIN boxes USING (vec_id), range(-6, 7) AS a(dy), range(-6, 7) AS b(dx)),
+  calm AS (SELECT vec_id, y, x, CAST(CAST(sum(k * w) / sum(k) AS FLOAT) AS DOUBLE) AS v
+           FROM (SELECT *, exp(-0.5::DOUBLE * power((w - v) / {ridge.SIGMA_COLOR}::DOUBLE, 2)
+                               - 0.5::DOUBLE * (dy * dy + dx * dx) / power({ridge.SIGMA_SPATIAL}::DOUBLE, 2)) AS k FROM near)
+           GROUP BY ALL),
+  raw_k AS (SELECT s, t, exp(-0.5::DOUBLE * power(t / s, 2)) AS g
+            FROM (SELECT unnest([{", ".join(f"{s}::DOUBLE" for s in CHIP_SIGMAS)}]) AS s), range(-8, 9) AS r(t) WHERE abs(t) <= 4 * s),
+  kern AS (SELECT s, t, g / sum(g) OVER (PARTITION BY s) AS g FROM raw_k),
+  fold AS (SELECT s, i, CASE WHEN i + t < 0 THEN -1 - i - t WHEN i + t > 7 THEN 15 - i - t ELSE i + t END AS j,
+                  sum(g) AS g, sum(-t / (s * s) * g) AS d, sum((t * t / power(s, 4) - 1 / (s * s)) * g) AS dd
+           FROM kern, range(0, 8) AS r(i) GROUP BY ALL),
+  hess AS (SELECT c.vec_id, a.s, a.i AS y, b.i AS x, a.s * a.s * sum(a.dd * b.g * c.v) AS yy,
+                  a.s * a.s * sum(a.g * b.dd * c.v) AS xx, a.s * a.s * sum(a.d * b.d * c.v) AS xy
+           FROM calm c JOIN fold a ON a.j = c.y JOIN fold b ON b.j = c.x AND b.s = a.s GROUP BY c.vec_id, a.s, a.i, b.i),
+  roots AS (SELECT *, 0.5::DOUBLE * (xx + yy) AS m, sqrt(power(0.5::DOUBLE * (xx - yy), 2) + xy * xy) AS r FROM hess),
+  eig AS (SELECT *, CASE WHEN abs(m + r) > abs(m - r) THEN m - r ELSE m + r END AS small,
+                 CASE WHEN abs(m + r) > abs(m - r) THEN m + r ELSE m - r END AS large FROM roots),
+  half AS (SELECT vec_id, s, CASE WHEN max(small * small + large * large) > 0 THEN 0.5::DOUBLE * sqrt(max(small * small + large * large)) ELSE 1 END AS half
+           FROM eig GROUP BY ALL),
+  best AS (SELECT vec_id, y, x, CAST(max(exp(-0.5::DOUBLE * power(abs(small) / greatest(-large, 1e-10::DOUBLE) / {ridge.BETA}::DOUBLE, 2))
+                 * (1 - exp(-0.5::DOUBLE * (small * small + large * large) / (half * half)))) AS FLOAT) AS v
+           FROM eig JOIN half USING (vec_id, s) GROUP BY ALL),
+  found AS (SELECT vec_id, y, x, CAST(v / CAST(CAST(max(v) OVER (PARTITION BY vec_id) AS DOUBLE) + 1e-9::DOUBLE AS FLOAT) AS DOUBLE) AS v FROM best)"""
+
+
+def _chip_ridge(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    cut = tiles.cut_tiles(S.chips(spark, d).withColumnRenamed("vec_id", "image_id"), tile=DRAW_TILE)
+    return cut, ridge.ridge_map(cut, invert=False, sigmas=CHIP_SIGMAS, tile=DRAW_TILE)
+
+
+@query(
+    "ridge_chips",
+    f"""{RIDGE_SQL} SELECT vec_id AS image_id, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, {r6("v", "v", 5)} FROM found WHERE v <> 0""",
+)
+def ridge_chips(spark: SparkSession, d: str) -> DataFrame:
+    """Scaled, denoised and multiscale ridge map of the 8 x 8 rasters, pixel by pixel."""
+    _, found = _chip_ridge(spark, d)
+    return rounded(tiles.tile_pixels(found, dtype="float32").select("image_id", "y", "x", "v"), 5)
+
+
+@query(
+    "ignore_chips",
+    f"""{RIDGE_SQL},
+    cuts AS (SELECT vec_id, quantile_cont(v, 0.9) AS cut FROM found GROUP BY vec_id),
+    marked AS (SELECT vec_id, y, x FROM v4 WHERE v > 0.1::DOUBLE),
+    seeds AS (SELECT f.vec_id, f.y, f.x FROM found f JOIN cuts USING (vec_id) ANTI JOIN marked m ON m.vec_id = f.vec_id AND m.y = f.y AND m.x = f.x WHERE v > cut),
+    grown AS (SELECT DISTINCT vec_id, y + dy AS y, x + dx AS x FROM seeds, range(-2, 3) AS a(dy), range(-2, 3) AS b(dx)
+              WHERE dy * dy + dx * dx <= 4 AND y + dy BETWEEN 0 AND 7 AND x + dx BETWEEN 0 AND 7)
+    SELECT g.vec_id AS image_id, CAST(g.y AS INTEGER) AS y, CAST(g.x AS INTEGER) AS x
+    FROM grown g ANTI JOIN marked m ON m.vec_id = g.vec_id AND m.y = g.y AND m.x = g.x""",
+)
+def ignore_chips(spark: SparkSession, d: str) -> DataFrame:
+    """Ridge-like pixels that nobody marked, grown by a disk; pixels above 0.1 count as marked."""
+    cut, found = _chip_ridge(spark, d)
+    marked = tiles.map_tiles(cut, lambda a, _: (a.astype(float) > 0.1).astype("uint8"))
+    unknown = ridge.ignore_mask(found, marked, quantile=0.9, dilation=2, tile=DRAW_TILE)
+    return tiles.tile_pixels(unknown).select("image_id", "y", "x")
+
+
 @query("snap_drawn")
 def snap_drawn(spark: SparkSession, d: str) -> DataFrame:
     """Curves moved six pixels off their own blurred image and snapped back."""
