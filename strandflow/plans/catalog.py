@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandflow import session
+from strandflow.config import TraceConfig
 from strandflow.functions.expr import ratio
 from strandflow.operators import (
     accuracy,
@@ -1195,6 +1196,57 @@ def trace_drawn(spark: SparkSession, d: str) -> DataFrame:
     return rounded(curves.curve_metrics(_traced(spark, d), curves.Layout()), 4)
 
 
+# One-pixel lines, a pixel a column, that climb or fall as the 64 numbers say; a gap of two to nine
+# pixels from the 28th on. They cross the corner of four tiles.
+THIN_TRACE = {"min_branch_px": 10, "bridge_gap_px": 9.0, "bridge_angle_deg": 60.0}
+THIN_STEP, THIN_START = 0.08, 28
+
+THIN_SQL = f"""WITH {V4_SQL},
+  inked AS (SELECT vec_id AS image_id, CAST(k >= {THIN_START} AS BIGINT) AS filament_id, k AS ord, CAST(96 + k AS DOUBLE) AS x,
+              CAST(128 + sum(CASE WHEN v > {THIN_STEP}::DOUBLE THEN 1 WHEN v < -{THIN_STEP}::DOUBLE THEN -1 ELSE 0 END)
+                   OVER (PARTITION BY vec_id ORDER BY k) AS DOUBLE) AS y
+            FROM v4 QUALIFY k < {THIN_START} OR k >= {THIN_START} + 2 + vec_id % 8),
+  traced AS (WITH {resample_sql("inked", "image_id, filament_id")}, {smooth_sql("resampled", "image_id, filament_id")} SELECT * FROM smoothed),
+  tips AS (WITH {arc_sql("traced", "image_id, filament_id")}, {ENDS_SQL} SELECT * FROM ends),
+  pairs AS (SELECT a.image_id, a.at_start AS start_i, b.at_start AS start_j, sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) AS gap,
+              b.x - a.x AS vx, b.y - a.y AS vy, a.dx AS adx, a.dy AS ady, b.dx AS bdx, b.dy AS bdy
+            FROM tips a JOIN tips b ON a.image_id = b.image_id AND a.filament_id = 0 AND b.filament_id = 1),
+  picked AS (SELECT image_id, start_i, start_j FROM pairs
+             WHERE gap <= {THIN_TRACE["bridge_gap_px"]} AND gap > 0
+               AND least((adx * vx + ady * vy) / gap, -(bdx * vx + bdy * vy) / gap, -(adx * bdx + ady * bdy)) >= cos(radians({THIN_TRACE["bridge_angle_deg"]}))
+             QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY gap, start_i, start_j) = 1),
+  sizes AS (SELECT image_id, max(n) FILTER (filament_id = 0) AS n_i FROM traced GROUP BY image_id),
+  strung AS (SELECT image_id, 0 AS filament_id, x, y,
+               CASE WHEN filament_id = 0 THEN CASE WHEN start_i THEN n - 1 - ord ELSE ord END
+                    ELSE n_i + CASE WHEN start_j THEN ord ELSE n - 1 - ord END END AS ord
+             FROM traced JOIN picked USING (image_id) JOIN sizes USING (image_id)),
+  joined AS (WITH {resample_sql("strung", "image_id, filament_id")}, {smooth_sql("resampled", "image_id, filament_id")} SELECT * FROM smoothed),
+  curves AS (SELECT image_id, filament_id, ord, x, y FROM joined
+             UNION ALL SELECT image_id, filament_id, ord, x, y FROM traced ANTI JOIN picked USING (image_id)),
+  {metrics_sql("curves", "image_id, filament_id")}"""
+
+
+@query("trace_thin", f"""{THIN_SQL} SELECT image_id, {METRIC_COLS}, n_points FROM metrics""")
+def trace_thin(spark: SparkSession, d: str) -> DataFrame:
+    """One-pixel lines with a gap traced, bridged where their ends face each other, and measured."""
+    step = F.when(F.col("v") > THIN_STEP, 1).when(F.col("v") < -THIN_STEP, -1).otherwise(0)
+    climb = Window.partitionBy("image_id").orderBy("k")
+    pixels = (
+        S.chips(spark, d)
+        .select(F.col("vec_id").alias("image_id"), F.posexplode("px").alias("k", "v"))
+        .withColumn("v", F.col("v").cast("double"))
+        .select(
+            "image_id", "k", (F.lit(128) + F.sum(step).over(climb)).cast("int").alias("y"),
+            (F.lit(96) + F.col("k")).cast("int").alias("x"), F.lit(256).alias("height"), F.lit(256).alias("width"),
+        )
+        .filter((F.col("k") < THIN_START) | (F.col("k") >= F.lit(THIN_START + 2) + F.col("image_id") % 8))
+    )
+    mask = tiles.mask_tiles(pixels.drop("k"), tile=DRAW_TILE)
+    found = tracer.trace_centerlines(mask, TraceConfig(**THIN_TRACE), tile=DRAW_TILE)
+    out = found.withColumnRenamed("curve", "filament_id").withColumn("block", curves.block_of(F.col("seq")))
+    return rounded(curves.curve_metrics(out, curves.Layout())).drop("filament_id")
+
+
 @query("ridge_drawn")
 def ridge_drawn(spark: SparkSession, d: str) -> DataFrame:
     """Mean ridge response on drawn pixels and elsewhere, per image."""
