@@ -464,6 +464,12 @@ def endpoints(vertices: DataFrame, layout: Layout = Layout(), *, span: int = 8)
         )
     )
 
+    return facing_out(ends, list(layout.keys))
+
+
+def facing_out(ends: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Both ends of each curve as rows, from its ends ``a``, ``b`` and the vertices ``a2``, ``b2`` further in."""
+
     def end(flag: bool, p: str) -> Column:
         dx, dy = unit(F.col(f"{p}_x") - F.col(f"{p}2_x"), F.col(f"{p}_y") - F.col(f"{p}2_y"))
         return F.struct(
@@ -474,9 +480,7 @@ def endpoints(vertices: DataFrame, layout: Layout = Layout(), *, span: int = 8)
             dy.alias("dy"),
         )
 
-    return ends.select(
-        *layout.keys, F.explode(F.array(end(True, "a"), end(False, "b"))).alias("e")
-    ).select(*layout.keys, "e.*")
+    return ends.select(*keys, F.explode(F.array(end(True, "a"), end(False, "b"))).alias("e")).select(*keys, "e.*")
 
 
 # Fixed value: samples per cubic segment.
