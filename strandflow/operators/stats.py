@@ -11,6 +11,7 @@ from strandflow.functions.expr import finite
 from strandflow.functions.student import t_factor
 from strandflow.operators.numbering import number_rows
 from strandflow.schema import METRICS
+from strandflow.session import cut_lineage
 
 # Resample count, seed and level of the bootstrap interval.
 N_BOOT = 2000
@@ -85,45 +86,59 @@ def bootstrap_bounds(per_image: DataFrame, metrics: Sequence[str], group_col: st
     """Percentile interval of the mean, resampling whole images.
 
     A resample only needs each image's sum and count, so curves are reduced to
-    one row per image first. Each image then asks, for every resample, for the
-    image drawn in its stead; draws meet the images they name by place, and are
-    summed map side. Work is spread over (image, resample), whatever a group's size.
+    one row per image first. Metrics that are defined on the same images of a
+    patient share their draws. Each image then asks, for every resample, for the
+    image drawn in its stead; draws meet the images they name by place, and the
+    sums of all metrics are added map side. Work is spread over (image,
+    resample), whatever a group's size.
     """
-    aggs = []
+    values = []
     for m in metrics:
         v = finite(F.col(m))
-        aggs += [F.sum(v).alias(f"s_{m}"), F.count(v).alias(f"c_{m}")]
-    items = F.array(
-        *[
-            F.struct(
-                F.lit(m).alias("metric"), F.col(f"s_{m}").alias("s"), F.col(f"c_{m}").alias("c")
-            )
-            for m in metrics
-        ]
+        values += [F.sum(v).alias(f"s_{m}"), F.count(v).alias(f"c_{m}")]
+    images = cut_lineage(
+        per_image.groupBy("patient_id", group_col).agg(*values).withColumnRenamed(group_col, "image")
     )
-    group = ["patient_id", "metric"]
-    images = (
-        per_image.groupBy("patient_id", group_col)
-        .agg(*aggs)
-        .select("patient_id", F.col(group_col).alias("image"), F.explode(items).alias("i"))
-        .select("patient_id", "image", "i.*")
-        .filter("c > 0")
+    has = {m: F.col(f"c_{m}") > 0 for m in metrics}
+
+    def first_alike(k: int) -> Column:
+        """The first metric that is defined on just the images where metric ``k`` is."""
+        alike = [
+            F.when(F.bool_and(has[m] == has[metrics[k]]), F.lit(m)) for m in metrics[:k]
+        ]
+        return F.coalesce(*alike, F.lit(metrics[k])).alias(metrics[k])
+
+    leads = images.groupBy("patient_id").agg(*[first_alike(k) for k in range(len(metrics))])
+    shared = leads.select(
+        "patient_id", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("lead")) for m in metrics])).alias("l")
+    ).select("patient_id", "l.*")
+    group = ["patient_id", "lead"]
+    sums = [c for m in metrics for c in (f"s_{m}", f"c_{m}")]
+    members = (
+        images.join(shared.select(*group).distinct(), "patient_id")
+        .filter(F.coalesce(*[F.when(F.col("lead") == m, has[m]) for m in metrics]))
+        .select(*group, "image", *sums)
     )
-    placed = number_rows(images, group, ["image"], "pos")
+    placed = cut_lineage(number_rows(members, group, ["image"], "pos"))
     sizes = placed.groupBy(*group).agg(F.count(F.lit(1)).alias("k"))
     draws = (
-        placed.join(sizes, group)
+        placed.select(*group, "pos")
+        .join(sizes, group)
         .select(*group, "pos", "k", F.explode(F.sequence(F.lit(0), F.lit(N_BOOT - 1))).alias("b"))
         .select(*group, "b", draw_place(F.col("b"), F.col("pos"), F.col("k")).alias("pos"))
     )
+    totals = draws.join(placed.drop("image"), [*group, "pos"]).groupBy(*group, "b").agg(*[F.sum(c).alias(c) for c in sums])
+    each = F.array(
+        *[F.struct(F.lit(m).alias("metric"), (F.col(f"s_{m}") / F.nullif(F.col(f"c_{m}"), F.lit(0))).alias("mean")) for m in metrics]
+    )
     means = (
-        draws.join(placed.select(*group, "pos", "s", "c"), [*group, "pos"])
-        .groupBy(*group, "b")
-        .agg((F.sum("s") / F.sum("c")).alias("mean"))
+        totals.select(*group, F.explode(each).alias("e"))
+        .select(*group, "e.*")
+        .join(shared, ["patient_id", "lead", "metric"], "left_semi")
     )
     q = F.percentile("mean", F.array(F.lit(ALPHA / 2), F.lit(1 - ALPHA / 2)))
     return (
-        means.groupBy(*group)
+        means.groupBy("patient_id", "metric")
         .agg(q.alias("q"))
-        .select(*group, F.col("q")[0].alias("ci95_low"), F.col("q")[1].alias("ci95_high"))
+        .select("patient_id", "metric", F.col("q")[0].alias("ci95_low"), F.col("q")[1].alias("ci95_high"))
     )

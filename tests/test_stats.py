@@ -93,3 +93,19 @@ def test_tile_quantiles(spark):
     got = {r["image_id"]: r["q"] for r in tile_quantiles(float_tiles(spark, images, 16), probs).collect()}
     for name, a in images.items():
         np.testing.assert_allclose(got[name], np.quantile(a.astype(np.float32).astype(float), probs), rtol=1e-12, atol=1e-15)
+
+
+def test_metrics_on_other_images_draw_apart(spark):
+    """Metrics that miss an image draw among the rest; those defined on the same images share draws."""
+    inf = float("inf")
+    rows = [("P", "a", 1.0, 2.0, inf), ("P", "b", 4.0, 8.0, 5.0), ("P", "c", 9.0, 18.0, 7.0), ("Q", "a", 3.0, 6.0, inf)]
+    df = spark.createDataFrame(rows, "patient_id string, image_id string, length double, max_curvature double, tortuosity double")
+    got = {(r["patient_id"], r["metric"]): (r["ci95_low"], r["ci95_high"]) for r in summarize_per_patient(df, bootstrap=True).collect()}
+    alone = {
+        (r["patient_id"], r["metric"]): (r["ci95_low"], r["ci95_high"])
+        for m in ("length", "tortuosity", "max_curvature")
+        for r in summarize_per_patient(df, metrics=[m], bootstrap=True).collect()
+    }
+    assert got == alone and len(got) == 6
+    assert got["Q", "tortuosity"] == (None, None) and got["P", "max_curvature"][1] == 2 * got["P", "length"][1]
+    assert 5.0 <= got["P", "tortuosity"][0] < got["P", "tortuosity"][1] <= 7.0
