@@ -1422,23 +1422,39 @@ def ridge_chips(spark: SparkSession, d: str) -> DataFrame:
     return rounded(tiles.tile_pixels(found, dtype="float32").select("image_id", "y", "x", "v"), 5)
 
 
-@query(
-    "ignore_chips",
-    f"""{RIDGE_SQL},
-    cuts AS (SELECT vec_id, quantile_cont(v, 0.9) AS cut FROM found GROUP BY vec_id),
-    marked AS (SELECT vec_id, y, x FROM v4 WHERE v > 0.1::DOUBLE),
-    seeds AS (SELECT f.vec_id, f.y, f.x FROM found f JOIN cuts USING (vec_id) ANTI JOIN marked m ON m.vec_id = f.vec_id AND m.y = f.y AND m.x = f.x WHERE v > cut),
-    grown AS (SELECT DISTINCT vec_id, y + dy AS y, x + dx AS x FROM seeds, range(-2, 3) AS a(dy), range(-2, 3) AS b(dx)
-              WHERE dy * dy + dx * dx <= 4 AND y + dy BETWEEN 0 AND 7 AND x + dx BETWEEN 0 AND 7)
-    SELECT g.vec_id AS image_id, CAST(g.y AS INTEGER) AS y, CAST(g.x AS INTEGER) AS x
-    FROM grown g ANTI JOIN marked m ON m.vec_id = g.vec_id AND m.y = g.y AND m.x = g.x""",
-)
-def ignore_chips(spark: SparkSession, d: str) -> DataFrame:
-    """Ridge-like pixels that nobody marked, grown by a disk; pixels above 0.1 count as marked."""
+IGNORE_SQL = RIDGE_SQL + """,
+  cuts AS (SELECT vec_id, quantile_cont(v, 0.9) AS cut FROM found GROUP BY vec_id),
+  marked AS (SELECT vec_id, y, x FROM v4 WHERE v > 0.1::DOUBLE),
+  seeds AS (SELECT f.vec_id, f.y, f.x FROM found f JOIN cuts USING (vec_id) ANTI JOIN marked m ON m.vec_id = f.vec_id AND m.y = f.y AND m.x = f.x WHERE v > cut),
+  grown AS (SELECT DISTINCT vec_id, y + dy AS y, x + dx AS x FROM seeds, range(-2, 3) AS a(dy), range(-2, 3) AS b(dx)
+            WHERE dy * dy + dx * dx <= 4 AND y + dy BETWEEN 0 AND 7 AND x + dx BETWEEN 0 AND 7),
+  unknown AS (SELECT g.vec_id, g.y, g.x FROM grown g ANTI JOIN marked m ON m.vec_id = g.vec_id AND m.y = g.y AND m.x = g.x)"""
+
+
+def _chip_labels(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Pixels above 0.1 count as marked; ridges that nobody marked are unknown."""
     cut, found = _chip_ridge(spark, d)
     marked = tiles.map_tiles(cut, lambda a, _: (a.astype(float) > 0.1).astype("uint8"))
-    unknown = ridge.ignore_mask(found, marked, quantile=0.9, dilation=2, tile=DRAW_TILE)
-    return tiles.tile_pixels(unknown).select("image_id", "y", "x")
+    return marked, ridge.ignore_mask(found, marked, quantile=0.9, dilation=2, tile=DRAW_TILE)
+
+
+@query("ignore_chips", f"{IGNORE_SQL} SELECT vec_id AS image_id, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x FROM unknown")
+def ignore_chips(spark: SparkSession, d: str) -> DataFrame:
+    """Ridge-like pixels that nobody marked, grown by a disk."""
+    return tiles.tile_pixels(_chip_labels(spark, d)[1]).select("image_id", "y", "x")
+
+
+@query(
+    "label_totals_chips",
+    f"""{IGNORE_SQL}, n AS (SELECT 64 * count(DISTINCT vec_id) AS pixels, count(DISTINCT vec_id) AS n_fibrils FROM embeddings)
+    SELECT {r6("(SELECT count(*) FROM marked) / pixels", "positive_fraction", 9)},
+           {r6("(SELECT count(*) FROM unknown) / pixels", "ignored_fraction", 9)}, n_fibrils FROM n""",
+)
+def label_totals_chips(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of marked and unknown pixels over all rasters, and the number of their curves."""
+    counts = jobs.mask_counts(*_chip_labels(spark, d))
+    lines = S.curves_arrays(spark, d).select(F.col("filament_id").alias("image_id"), "filament_id")
+    return rounded(jobs.label_totals(counts, lines), 9)
 
 
 @query("snap_drawn")
