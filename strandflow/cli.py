@@ -8,6 +8,7 @@
     python -m strandflow.cli compare-runs labelled_set a.yaml b.yaml --reports reports/training_runs.jsonl
     python -m strandflow.cli match micrographs screenshots --mapping outputs/mapping
     python -m strandflow.cli import-deck decks --out outputs/decks
+    python -m strandflow.cli demo --images 4 --out outputs/demo
 """
 
 from __future__ import annotations
@@ -75,6 +76,11 @@ def _parser() -> argparse.ArgumentParser:
     p = sub.add_parser("import-deck")
     p.add_argument("decks")
     p.add_argument("--out", default="outputs/decks")
+    p = sub.add_parser("demo")
+    p.add_argument("--images", type=int, default=4)
+    p.add_argument("--size", type=int, default=512)
+    p.add_argument("--seed", type=int, default=0)
+    p.add_argument("--out", default="outputs/demo")
     p = sub.add_parser("summarize")
     p.add_argument("per_image")
     p.add_argument("--out", default="outputs/per_patient")
@@ -92,6 +98,13 @@ def main(argv: list[str] | None = None) -> None:
     if args.command == "import-deck":
         jobs.import_decks(spark, args.decks, args.out).show(truncate=False)
         return
+    if args.command == "demo":
+        jobs.demo_set(spark, args.out, n=args.images, shape=(args.size, args.size), seed=args.seed)
+        shots = f"{args.out}/micrographs"
+        per_image, _ = jobs.trace_and_measure(read_mrc(spark, shots), read_mrc_headers(spark, shots), patient_id="demo")
+        sinks.put_per_image(per_image, f"{args.out}/per_image", "demo")
+        sinks.write_summary(summarize_per_patient(sinks.read_per_image(spark, f"{args.out}/per_image")), f"{args.out}/per_patient")
+        return
     if args.command == "match":
         shots = read_grayscale(spark, args.screenshots)
         matches, warnings = jobs.match_and_record(read_mrc(spark, args.micrographs), shots, args.mapping)

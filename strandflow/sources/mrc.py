@@ -67,8 +67,8 @@ def parse_header(head: bytes) -> MrcHeader:
     return MrcHeader(nx, ny, nz, np.dtype(e + MODES[mode]), size, HEADER_BYTES + max(extended, 0))
 
 
-def write_mrc(path: str, image: np.ndarray, pixel_size_a: float) -> None:
-    """A single little-endian float32 image."""
+def mrc_bytes(image: np.ndarray, pixel_size_a: float) -> bytes:
+    """A single little-endian float32 image as a file."""
     h, w = image.shape
     head = bytearray(HEADER_BYTES)
     struct.pack_into("<4i", head, 0, w, h, 1, 2)
@@ -77,9 +77,12 @@ def write_mrc(path: str, image: np.ndarray, pixel_size_a: float) -> None:
     struct.pack_into("<3i", head, 64, 1, 2, 3)
     head[208:212] = b"MAP "
     head[212:214] = b"\x44\x44"
+    return bytes(head) + np.ascontiguousarray(image, dtype="<f4").tobytes()
+
+
+def write_mrc(path: str, image: np.ndarray, pixel_size_a: float) -> None:
     with open(path, "wb") as fh:
-        fh.write(bytes(head))
-        fh.write(np.ascontiguousarray(image, dtype="<f4").tobytes())
+        fh.write(mrc_bytes(image, pixel_size_a))
 
 
 @dataclass

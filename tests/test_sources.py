@@ -511,3 +511,21 @@ def test_deck_outputs(spark, tmp_path):
     assert got == {("a_slide01", "no number nearby"), ("b_slide01", "no traces")}
     assert spark.read.option("header", True).csv(str(tmp_path / "out" / "traces")).count() == 2
     assert spark.read.parquet(str(tmp_path / "out" / "pictures")).count() == 2
+
+
+def test_demo_as_a_command(spark, tmp_path):
+    from strandflow import cli
+
+    cli.main(["demo", "--images", "2", "--size", "160", "--seed", "4", "--out", str(tmp_path)])
+    names = {p.relative_to(tmp_path).as_posix() for part in ("micrographs", "images", "traces") for p in (tmp_path / part).glob("demo*")}
+    ends = {"micrographs": "mrc", "images": "png", "traces": "csv"}
+    assert names == {f"{part}/demo_000{k}.{end}" for part, end in ends.items() for k in range(2)}
+    for k in range(2):
+        image, courses = jobs.synthetic_micrograph((160, 160), 6, 4 + k)
+        raw = (tmp_path / "micrographs" / f"demo_000{k}.mrc").read_bytes()
+        np.testing.assert_array_equal(np.frombuffer(raw[1024:], "<f4").reshape(160, 160), image)
+        drawn = (tmp_path / "traces" / f"demo_000{k}.csv").read_text().splitlines()
+        assert len(drawn) == 1 + sum(map(len, courses))
+    rows = sinks.read_per_image(spark, str(tmp_path / "per_image")).collect()
+    assert {r["patient_id"] for r in rows} == {"demo"} and {r["image_id"] for r in rows} <= {"demo_0000", "demo_0001"}
+    assert spark.read.option("header", True).csv(str(tmp_path / "per_patient")).count() == 7
