@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from helpers import assemble, bool_tiles, draw, float_tiles, points_df
@@ -288,3 +290,29 @@ def test_label_building(spark):
     assert g[18:23, 40:120].mean() > 0.5 and not (m & g).any()
     y = [r["y"] for r in lines.collect()]
     assert abs(np.median(y) - 60) < 1.5
+
+
+def test_scores_are_held_a_few_rows_at_a_time():
+    a, b = RNG.random((3000, 16)), RNG.random((3000, 16))
+    tracemalloc.start()
+    row, shot, score = M._best_two(a, b, a > 0.3, score_bytes=1 << 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 << 20  # all scores are 72 MB
+    want = M._block_scores(a, b, a > 0.3)
+    np.testing.assert_allclose(score.reshape(-1, 2), -np.sort(-want, axis=1)[:, :2], atol=1e-9)
+    assert (row == np.repeat(np.arange(3000), 2)).all() and len(shot) == 6000
+
+
+@pytest.mark.parametrize("mask", [None, "m"])
+def test_equal_screenshots_tie_wherever_they_lie(spark, mask):
+    # Three copies of each screenshot; with a mask, all nine pixels outside it differ.
+    px = [[round(float(v), 1) for v in RNG.random(25)] for _ in range(40)]
+    ice = [k < 16 for k in range(25)]
+    rows = [(k + 40 * c, [v + (c if mask and not i else 0) for v, i in zip(p, ice, strict=True)]) for c in range(3) for k, p in enumerate(px)]
+    shots = spark.createDataFrame(rows, "shot_id long, px array<double>")
+    images = spark.createDataFrame([(k, p, ice) for k, p in enumerate(px)], "image_id long, px array<double>, m array<boolean>")
+    for size in (1 << 20, 2000, 700):
+        for r in M.top_two(images, shots, mask=mask, block_bytes=size).collect():
+            assert (r.best_id, r.runner_up_id) == (r.image_id + 80, r.image_id + 40)
+            assert r.best_score == r.runner_up_score
