@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from strandflow.operators.ridge import normalize_tiles
 from strandflow.operators.tiles import GRID, TILE, only_fields, as_array, map_rows, tile_schema
-from strandflow.session import spread
+from strandflow.session import spread, whole
 
 Predictor = Callable[[np.ndarray], np.ndarray]
 
@@ -176,7 +176,7 @@ def training_patches(
     x = patches_of(image, **size)
     m = patches_of(mask, dtype=np.uint8, **size).select(*key, F.col("pixels").alias("mask"))
     g = patches_of(ignore, dtype=np.uint8, **size).select(*key, F.col("pixels").alias("ignore"))
-    both = x.join(m, key).join(g, key, "left")
+    both = x.join(whole(m), key).join(whole(g), key, "left")
     schema = T.StructType(
         [*x.schema.fields, T.StructField("mask", T.BinaryType()), T.StructField("weight", T.BinaryType())]
     )

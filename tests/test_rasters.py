@@ -13,6 +13,7 @@ from strandflow.operators import rasters as R
 from strandflow.operators import ridge as G
 from strandflow.operators import tiles as T
 from strandflow.plans import jobs
+from strandflow.plans.catalog import QUERIES
 from strandflow.sources.images import png_bytes, read_pictures
 from strandflow.sources.mrc import read_mrc, write_mrc
 
@@ -316,3 +317,10 @@ def test_equal_screenshots_tie_wherever_they_lie(spark, mask):
         for r in M.top_two(images, shots, mask=mask, block_bytes=size).collect():
             assert (r.best_id, r.runner_up_id) == (r.image_id + 80, r.image_id + 40)
             assert r.best_score == r.runner_up_score
+
+
+@pytest.mark.parametrize("name", ["stitch_tiles", "tile_mask_scores"])
+def test_rasters_are_not_broadcast(spark, name):
+    """The files read are small, the rasters drawn from them are not."""
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan.split("== Physical Plan ==")[1]
