@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandflow.operators.curves import Layout, explode_points
+from strandflow.session import spread, whole
 
 # The first day of ``events``, and a day in microseconds.
 EPOCH = "2024-01-01"
@@ -50,13 +51,18 @@ def curves_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def curves_orders(spark: SparkSession, sf_dir: str, *, x: Column | None = None, y: Column | None = None) -> DataFrame:
-    """V2: an order's lines; image = customer, patient = nation. Blocks cut by line and part."""
+    """V2: an order's lines; image = customer, patient = nation. Blocks cut by line and part.
+
+    An order has a handful of lines, so lines are dealt by order once, in parts of a fixed
+    number of rows; the join and all that is done per curve keep that partitioning.
+    """
     line, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     customer = table(spark, sf_dir, "customer")
     keys = orders.join(customer, orders.o_custkey == customer.c_custkey).select(
         "o_orderkey", "o_custkey", "c_nationkey"
     )
-    return line.join(keys, line.l_orderkey == keys.o_orderkey).select(
+    line = spread(line.select("l_orderkey", *V2.order), "l_orderkey", rows=line.count())
+    return line.join(whole(keys), line.l_orderkey == keys.o_orderkey).select(
         F.col("l_orderkey").alias("filament_id"),
         F.col("o_custkey").alias("image_id"),
         F.col("c_nationkey").alias("patient_id"),

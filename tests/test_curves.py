@@ -7,7 +7,9 @@ import pytest
 from helpers import points_df, polylines
 from pyspark.sql import functions as F
 
+from strandflow import session
 from strandflow.operators import curves as C
+from strandflow.plans import standins
 
 
 def metrics(df, layout=C.Layout(), **kw):
@@ -170,3 +172,13 @@ def test_one_exchange_per_level(spark):
     plan = C.curve_metrics(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_lines_of_orders_are_dealt_in_bounded_parts(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_A_TASK", 500)
+    lines = standins.curves_orders(spark, "/root/testdata/sf0.001")
+    sizes = lines.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) >= 10 and max(r["count"] for r in sizes) < 1000
+    # Curves are measured where their lines lie: no further exchange of vertices.
+    plan = C.curve_metrics(lines, standins.V2)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(image_id" not in plan
