@@ -324,3 +324,14 @@ def test_rasters_are_not_broadcast(spark, name):
     """The files read are small, the rasters drawn from them are not."""
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan.split("== Physical Plan ==")[1]
+
+
+def test_pieces_of_a_tile_meet_as_they_come(spark):
+    many = {f"i{k:03}": RNG.random((5, 9)).astype(np.float32) for k in range(300)}
+    padded = T.with_halo(float_tiles(spark, many, 4), 2, tile=4, border="zero")
+    assert "FlatMapGroups" not in padded._jdf.queryExecution().toString()
+    rows = padded.collect()
+    assert len(rows) == len({(r.image_id, r.ty, r.tx) for r in rows}) == 300 * 2 * 3
+    for r in rows:
+        w = np.frombuffer(r.pixels, np.float32).reshape(r.h + 4, r.w + 4)
+        np.testing.assert_array_equal(w, np.pad(many[r.image_id], 2)[r.y0 : r.y0 + r.h + 4, r.x0 : r.x0 + r.w + 4])
