@@ -7,6 +7,7 @@ import pytest
 from helpers import assemble, bool_tiles, draw, float_tiles, points_df
 from pyspark.sql import functions as F
 
+from strandflow import session
 from strandflow.operators import micrographs as M
 from strandflow.operators import patches as P
 from strandflow.operators import rasters as R
@@ -335,3 +336,11 @@ def test_pieces_of_a_tile_meet_as_they_come(spark):
     for r in rows:
         w = np.frombuffer(r.pixels, np.float32).reshape(r.h + 4, r.w + 4)
         np.testing.assert_array_equal(w, np.pad(many[r.image_id], 2)[r.y0 : r.y0 + r.h + 4, r.x0 : r.x0 + r.w + 4])
+
+
+def test_drawn_curves_are_dealt_by_their_pixels(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_A_TASK", 25_000)
+    pixels = QUERIES["rasterize"](spark, "/root/testdata/sf0.001")
+    # 500 curves of a thousand pixels each: 20 parts instead of the session's 4.
+    assert pixels.rdd.getNumPartitions() == 20
+    assert pixels.count() == pixels.distinct().count()
