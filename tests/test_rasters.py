@@ -8,6 +8,7 @@ from helpers import assemble, bool_tiles, draw, float_tiles, points_df
 from pyspark.sql import functions as F
 
 from strandflow import session
+from strandflow.functions.arrays import dilate_disk
 from strandflow.operators import micrographs as M
 from strandflow.operators import patches as P
 from strandflow.operators import rasters as R
@@ -344,3 +345,12 @@ def test_drawn_curves_are_dealt_by_their_pixels(spark, monkeypatch):
     # 500 curves of a thousand pixels each: 20 parts instead of the session's 4.
     assert pixels.rdd.getNumPartitions() == 20
     assert pixels.count() == pixels.distinct().count()
+
+
+def test_padded_tiles_are_worked_on_where_they_are_put_together(spark):
+    a = RNG.random((40, 50)) > 0.97
+    tiles = T.map_tiles(float_tiles(spark, {"i": a.astype(np.float32)}, 16), lambda v, _: (v > 0).astype(np.uint8)).localCheckpoint()
+    grown = T.dilate_tiles(tiles, 2, tile=16)
+    # The strips that tiles send, and the tiles put together and grown.
+    assert grown._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2
+    np.testing.assert_array_equal(assemble(grown, a.shape, np.uint8) > 0, dilate_disk(a, 2))
