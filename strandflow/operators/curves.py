@@ -22,6 +22,9 @@ from strandflow.session import spread
 
 BLOCK_ROWS = 65536
 
+# Samples of curves that one task makes or smooths, where their number is known.
+SAMPLES_A_TASK = 1_200_000
+
 
 @dataclass(frozen=True)
 class Layout:
@@ -306,15 +309,17 @@ def resample(
     *,
     step: float = 1.0,
     carry: Sequence[str] = (),
+    rows: int = 0,
 ) -> DataFrame:
     """Uniform arc-length spacing near ``step``; columns ``seq, n, x, y, block``.
 
     Each vertex emits the sample numbers that fall on the segment it opens, so
     no range join is needed. The last sample is the last vertex itself. A curve
     of one vertex is returned as it is; one of zero length gives its first vertex.
+    ``rows``: the number of samples, where it is known.
     """
     # Rows multiply below this exchange, so its partitions must not be merged by size.
-    pos = with_position(spread(vertices, *layout.by_block), layout, carry=carry)
+    pos = with_position(spread(vertices, *layout.by_block, rows=rows, each=SAMPLES_A_TASK), layout, carry=carry)
     count = F.greatest(F.ceil(F.col("total") / F.lit(float(step))) + 1, F.lit(2)).cast("long")
     pos = pos.withColumn("m", F.when(F.col("total") > 0, count).otherwise(F.lit(1).cast("long")))
     h = F.col("total") / (F.col("m") - 1)
@@ -361,6 +366,7 @@ def smooth(
     window: int = 5,
     carry: Sequence[str] = (),
     block_rows: int = BLOCK_ROWS,
+    rows: int = 0,
 ) -> DataFrame:
     """Moving average with replicated edges; both end vertices stay fixed.
 
@@ -405,6 +411,8 @@ def smooth(
     sent = vertices.select(*keys, *carry, "seq", "n", "x", "y", F.explode(copies).alias("c")).select(
         *keys, *carry, "seq", "n", "x", "y", "c.block", "c.at"
     )
+    if rows:
+        sent = spread(sent, *keys, "block", rows=rows, each=SAMPLES_A_TASK)
     fixed = (F.col("n") <= window) | (seq == 0) | (seq == last)
 
     def mean(c: str) -> Column:
@@ -424,13 +432,23 @@ def finish(
     step: float = 1.0,
     window: int = 5,
     carry: Sequence[str] = (),
+    rows: int = 0,
 ) -> DataFrame:
-    """Resample, then smooth. Apply once per curve: a second pass halves curvature."""
+    """Resample, then smooth. Apply once per curve: a second pass halves curvature.
+
+    ``rows``: the number of samples, where it is known (see ``count_samples``).
+    """
     return smooth(
-        resample(vertices, layout, step=step, carry=carry), layout.keys, window=window, carry=carry
+        resample(vertices, layout, step=step, carry=carry, rows=rows), layout.keys, window=window, carry=carry, rows=rows
     )
 
 
+def count_samples(vertices: DataFrame, layout: Layout = Layout(), *, step: float = 1.0) -> int:
+    """About how many samples ``resample`` makes: one job over the vertices, which may be far fewer."""
+    length = curve_metrics(vertices, layout).filter("isnotnull(length) and not isnan(length)")
+    return int(length.agg(F.sum(F.ceil(F.col("length") / F.lit(float(step))) + 1)).first()[0] or 0)
+
+
 def unit_normals(vertices: DataFrame, layout: Layout = Layout()) -> DataFrame:
     """Unit normals from central differences (one sided at the ends)."""
     pos = with_position(vertices, layout)

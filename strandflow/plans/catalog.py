@@ -339,7 +339,9 @@ def smooth(spark: SparkSession, d: str) -> DataFrame:
     SELECT image_id, filament_id, {METRIC_COLS}, n_points FROM metrics""",
 )
 def finish_then_metrics(spark: SparkSession, d: str) -> DataFrame:
-    done = curves.finish(S.curves_events(spark, d), S.V1)
+    v = S.curves_events(spark, d)
+    # A vertex opens some dozens of samples.
+    done = curves.finish(v, S.V1, rows=curves.count_samples(v, S.V1))
     return rounded(curves.curve_metrics(done, curves.Layout()))
 
 

@@ -182,3 +182,14 @@ def test_lines_of_orders_are_dealt_in_bounded_parts(spark, monkeypatch):
     # Curves are measured where their lines lie: no further exchange of vertices.
     plan = C.curve_metrics(lines, standins.V2)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(image_id" not in plan
+
+
+def test_samples_are_dealt_in_bounded_parts(spark, monkeypatch):
+    monkeypatch.setattr(C, "SAMPLES_A_TASK", 50)
+    v = points_df(spark, {str(k): [(0, k), (99, k)] for k in range(20)})
+    rows = C.count_samples(v)
+    assert rows == 20 * 100
+    done = C.finish(v, rows=rows)
+    assert done.rdd.getNumPartitions() == 40
+    plain = {(r.filament_id, r.seq): (r.x, r.y) for r in C.finish(v).collect()}
+    assert {(r.filament_id, r.seq): (r.x, r.y) for r in done.collect()} == plain and len(plain) == 2000
