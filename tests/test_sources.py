@@ -453,6 +453,26 @@ def test_validation_job(spark, tmp_path):
     assert cv["recall"].first()["recall"] == 0.5
 
 
+def test_validation_plans_stay_small(spark, monkeypatch):
+    """What makes the curves is planned once, not in every place that reads them."""
+    from helpers import bool_tiles, float_tiles
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    shape, nodes, checkpoint = (64, 128), [], DataFrame.checkpoint
+
+    def counted(df, *args, **kwargs):
+        nodes.append(df._jdf.queryExecution().analyzed().toString().count("\n"))
+        return checkpoint(df, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrame, "checkpoint", counted)
+    mask = draw(shape, [((10, 30), (110, 30))])
+    manual = jobs.resample(points_df(spark, {"f": [(10, 32), (110, 32)]}))
+    tiles = bool_tiles(spark, {"img": mask}, 64)
+    out = jobs.validate(float_tiles(spark, {"img": mask.astype(float)}, 64), tiles, tiles, manual, tile=64)
+    assert out["per_image"].first()["matched"] == 1
+    assert max(nodes) < 300, nodes
+
+
 def test_validation_of_a_labelled_set(spark, tmp_path):
     (tmp_path / "set" / "images").mkdir(parents=True)
     (tmp_path / "set" / "traces").mkdir()
