@@ -339,6 +339,22 @@ def test_pieces_of_a_tile_meet_as_they_come(spark):
         np.testing.assert_array_equal(w, np.pad(many[r.image_id], 2)[r.y0 : r.y0 + r.h + 4, r.x0 : r.x0 + r.w + 4])
 
 
+def test_ridges_take_one_python_worker_a_stage(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    plans, checkpoint = [], DataFrame.checkpoint
+
+    def kept(df, *args, **kwargs):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return checkpoint(df, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrame, "checkpoint", kept)
+    tiles = session.cut_lineage(float_tiles(spark, {"a": RNG.random((40, 50)).astype(np.float32)}, 32))
+    G.ridge_map(tiles, sigmas=(1.0,), tile=32)
+    # The range; scaling with its strips; denoising with its strips; the padded tiles.
+    assert plans[1].count("MapInArrow") == 4
+
+
 def test_drawn_curves_are_dealt_by_their_pixels(spark, monkeypatch):
     monkeypatch.setattr(session, "ROWS_A_TASK", 25_000)
     pixels = QUERIES["rasterize"](spark, "/root/testdata/sf0.001")
