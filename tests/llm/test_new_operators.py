@@ -165,6 +165,25 @@ def test_scores_equal_a_plain_tree(spark, depth, least, divergence):
         assert sum(tree.p(s, w) for (w,) in tree.c1) + tree.p(s, "never seen") == pytest.approx(1)
 
 
+@pytest.mark.parametrize("share", [1e-3, 1.0])
+def test_rare_contexts_count_as_in_a_plain_tree(spark, share):
+    """What is too rare to be broadcast is met in a join, with the same scores."""
+    docs = documents(spark)
+    got = {r["doc_id"]: r["score"] for r in S.modelled(docs, least_share=share, least_count=3, least_divergence=1.0).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    tree = PlainTree([t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2], 2, 3, 1.0)
+    assert any(tree.c[s] < 1e-3 * tree.n for s in tree.kept) and len(got) == len(texts)
+    assert all(got[i] == pytest.approx(tree.score(t), rel=1e-9, abs=1e-9) for i, t in texts.items())
+
+
+def test_long_texts_with_rare_runs_are_scored_alike(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([LONG, "some words of one line", "some words of one line", LONG])], "doc_id long, text string")
+    whole = {r["doc_id"]: r["score"] for r in S.modelled(docs, least_share=1.0, least_count=2, least_divergence=0.0).collect()}
+    monkeypatch.setattr(S, "PIECE_BYTES", 100)
+    small = {r["doc_id"]: r["score"] for r in S.modelled(docs, least_share=0.0, least_count=2, least_divergence=0.0).collect()}
+    assert whole == pytest.approx(small, rel=1e-9) and len(whole) == 4
+
+
 def test_held_out_texts_are_likelier_than_by_their_words(spark):
     got = S.modelled(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("held_out").toPandas()
     assert got["score"].sum() > got["base_score"].sum() and (got["score"] > got["base_score"]).mean() > 0.8
