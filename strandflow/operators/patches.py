@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from strandflow.operators.ridge import normalize_tiles
-from strandflow.operators.tiles import GRID, TILE, only_fields, as_array, map_rows, tile_schema
-from strandflow.session import spread, whole
+from strandflow.operators.tiles import GRID, TILE, as_array, map_groups, map_rows, pack, plain, tile_schema, unpacked
+from strandflow.session import whole
 
 Predictor = Callable[[np.ndarray], np.ndarray]
 
@@ -35,7 +35,7 @@ def blend_window(patch: int, taper: float = 0.25) -> np.ndarray:
 
 
 def patches_of(
-    tiles: DataFrame, *, patch: int = 256, overlap: int = 64, dtype: type = np.float32, tile: int = TILE
+    tiles: DataFrame, *, patch: int = 256, overlap: int = 64, dtype: type = np.float32, tile: int = TILE, packed: bool = False
 ) -> DataFrame:
     """Patch rows (image_id, y, x, height, width, pixels): each tile sends the parts it holds.
 
@@ -56,19 +56,16 @@ def patches_of(
             for px in _starts(row["width"], patch, overlap):
                 xa, xb = max(px, row["x0"]), min(px + patch, row["x0"] + row["w"])
                 if xa < xb:
-                    part = np.ascontiguousarray(a[ya - row["y0"] : yb - row["y0"], xa - row["x0"] : xb - row["x0"]])
+                    part = pack(a[ya - row["y0"] : yb - row["y0"], xa - row["x0"] : xb - row["x0"]])
                     out.append(
-                        {**row, "py": py, "px": px, "y0": ya, "x0": xa, "h": yb - ya, "w": xb - xa, "pixels": part.tobytes()}
+                        {**row, "py": py, "px": px, "y0": ya, "x0": xa, "h": yb - ya, "w": xb - xa, "pixels": part}
                     )
         return out
 
     schema = T.StructType(
         [id_field, *[T.StructField(c, T.IntegerType()) for c in ("y", "x", "height", "width")], T.StructField("pixels", T.BinaryType())]
     )
-    arrow = to_arrow_schema(schema)
-
-    def join(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
+    def join(rows: list[dict]) -> list[dict]:
         head = rows[0]
         h, w = min(patch, head["height"] - head["py"]), min(patch, head["width"] - head["px"])
         a = np.zeros((h, w), dtype=dtype)
@@ -77,10 +74,9 @@ def patches_of(
             a[y : y + r["h"], x : x + r["w"]] = as_array(r, dtype)
         if h < patch or w < patch:
             a = np.pad(a, ((0, patch - h), (0, patch - w)), mode="reflect")
-        rec = {**head, "y": head["py"], "x": head["px"], "pixels": np.ascontiguousarray(a).tobytes()}
-        return pa.Table.from_pylist([only_fields(rec, arrow.names)], schema=arrow)
+        return [{**head, "y": head["py"], "x": head["px"], "pixels": (pack if packed else plain)(a)}]
 
-    return spread(map_rows(tiles, send, pieces_schema), "image_id", "py", "px").groupBy("image_id", "py", "px").applyInArrow(join, schema)
+    return map_groups(map_rows(tiles, send, pieces_schema), ["image_id", "py", "px"], join, schema)
 
 
 def predict_patches(patches: DataFrame, load: Callable[[], Predictor], *, patch: int = 256, batch: int = 8) -> DataFrame:
@@ -104,47 +100,47 @@ def predict_patches(patches: DataFrame, load: Callable[[], Predictor], *, patch:
     return patches.mapInArrow(run, patches.schema)
 
 
-def stitch_patches(patches: DataFrame, *, patch: int = 256, tile: int = TILE) -> DataFrame:
+def stitch_patches(patches: DataFrame, *, patch: int = 256, tile: int = TILE, packed: bool = False) -> DataFrame:
     """Patches to float tiles by weighted mean; each patch sends its part to every tile it meets."""
     id_field = patches.schema["image_id"]
-    pieces_schema = tile_schema(id_type=id_field.dataType)
+    schema = tile_schema(id_type=id_field.dataType)
+    # A patch's corner says which weights a part of it has: they do not travel.
+    pieces_schema = tile_schema([T.StructField(c, T.IntegerType()) for c in ("py", "px")], id_type=id_field.dataType)
     weights = blend_window(patch)
 
     def send(row: dict) -> list[dict]:
-        a = np.frombuffer(row["pixels"], np.float32).reshape(patch, patch).astype(float)
-        both = np.stack([a * weights, weights])
+        a = np.frombuffer(unpacked(row["pixels"], 4 * patch * patch), np.float32).reshape(patch, patch)
         yb, xb = min(row["y"] + patch, row["height"]), min(row["x"] + patch, row["width"])
         out = []
         for ty in range(row["y"] // tile, (yb - 1) // tile + 1):
             for tx in range(row["x"] // tile, (xb - 1) // tile + 1):
                 y0, y1 = max(row["y"], ty * tile), min(yb, (ty + 1) * tile)
                 x0, x1 = max(row["x"], tx * tile), min(xb, (tx + 1) * tile)
-                part = both[:, y0 - row["y"] : y1 - row["y"], x0 - row["x"] : x1 - row["x"]]
                 out.append(
                     {
                         "image_id": row["image_id"], "ty": ty, "tx": tx, "y0": y0, "x0": x0,
                         "h": y1 - y0, "w": x1 - x0, "height": row["height"], "width": row["width"],
-                        "pixels": np.ascontiguousarray(part).tobytes(),
+                        "py": row["y"], "px": row["x"],
+                        "pixels": pack(a[y0 - row["y"] : y1 - row["y"], x0 - row["x"] : x1 - row["x"]]),
                     }
                 )
         return out
 
-    arrow = to_arrow_schema(pieces_schema)
-
-    def join(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: (r["y0"], r["x0"], r["h"], r["w"]))
+    def join(rows: list[dict]) -> list[dict]:
+        rows = sorted(rows, key=lambda r: (r["y0"], r["x0"], r["h"], r["w"]))
         head = rows[0]
         y0, x0 = head["ty"] * tile, head["tx"] * tile
         h, w = min(tile, head["height"] - y0), min(tile, head["width"] - x0)
-        total = np.zeros((2, h, w))
+        total, weight = np.zeros((h, w)), np.zeros((h, w))
         for r in rows:
-            part = np.frombuffer(r["pixels"]).reshape(2, r["h"], r["w"])
-            total[:, r["y0"] - y0 : r["y0"] - y0 + r["h"], r["x0"] - x0 : r["x0"] - x0 + r["w"]] += part
-        mean = (total[0] / np.maximum(total[1], 1e-8)).astype(np.float32)
-        rec = {**head, "y0": y0, "x0": x0, "h": h, "w": w, "pixels": mean.tobytes()}
-        return pa.Table.from_pylist([only_fields(rec, arrow.names)], schema=arrow)
-
-    return spread(map_rows(patches, send, pieces_schema), *GRID).groupBy(*GRID).applyInArrow(join, pieces_schema)
+            at = np.s_[r["y0"] - y0 : r["y0"] - y0 + r["h"], r["x0"] - x0 : r["x0"] - x0 + r["w"]]
+            own = weights[r["y0"] - r["py"] : r["y0"] - r["py"] + r["h"], r["x0"] - r["px"] : r["x0"] - r["px"] + r["w"]]
+            total[at] += as_array(r).astype(float) * own
+            weight[at] += own
+        mean = (total / np.maximum(weight, 1e-8)).astype(np.float32)
+        return [{**head, "y0": y0, "x0": x0, "h": h, "w": w, "pixels": (pack if packed else plain)(mean)}]
+
+    return map_groups(map_rows(patches, send, pieces_schema), GRID, join, schema)
 
 
 def predict_tiles(

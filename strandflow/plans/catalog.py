@@ -1146,8 +1146,8 @@ def _as_map(mask: DataFrame) -> DataFrame:
 def stitch_tiles(spark: SparkSession, d: str) -> DataFrame:
     """Tiles cut into overlapping patches across their seams and blended back."""
     full = _full_grid(_as_map(drawn_mask(spark, d)))
-    cut = patches.patches_of(full, patch=64, overlap=16, tile=DRAW_TILE)
-    back = patches.stitch_patches(cut, patch=64, tile=DRAW_TILE)
+    cut = patches.patches_of(full, patch=64, overlap=16, tile=DRAW_TILE, packed=True)
+    back = patches.stitch_patches(cut, patch=64, tile=DRAW_TILE, packed=True)
     return rounded(tiles.tile_pixels(back, dtype="float32").select("image_id", "y", "x", "v"), 3)
 
 
